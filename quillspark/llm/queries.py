@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .pii import find_pii, pii_digest
 from .simhash import simhash_components
 
 
@@ -16,12 +17,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms in ``documents``."""
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of ``documents``."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_simhash": op4_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
