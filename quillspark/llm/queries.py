@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .packing import pack, pieces_digest
 from .pii import find_pii, pii_digest
 from .simhash import simhash_components
 
@@ -22,6 +24,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of ``documents`` in sequences of 2048 ids."""
+    return pieces_digest(pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of ``documents``."""
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -29,6 +36,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
