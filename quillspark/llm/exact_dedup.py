@@ -69,7 +69,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     )
     best = F.max_by(F.col("doc_id"), F.struct(F.col("_chars"), -F.col("doc_id")))
     groups = rows.where("_sha is not null").groupBy("_sha").agg(best.alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    return rows.join(groups, "_sha", "left").select(
+    alone = rows.where("_sha is null").withColumns({"_keep": F.col("doc_id"), "_size": F.lit(1)})  # a null key would be one hot key
+    together = rows.where("_sha is not null").join(groups, "_sha", "left")
+    return together.unionByName(alone).select(
         "doc_id",
         F.coalesce("_keep", "doc_id").alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
