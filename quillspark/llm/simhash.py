@@ -59,11 +59,12 @@ def fingerprint(features: Iterable[bytes], seed: int = 42, bits: int = 64) -> in
     return int.from_bytes(np.packbits(2 * counts > len(values), bitorder="little").tobytes(), "little") & ((1 << bits) - 1)
 
 
-def _fingerprints(size: int, seeds: tuple[int, ...], bits: int):
+def _fingerprints(size: int, seeds: tuple[int, ...], bits: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            found = [[fingerprint(feats, s, bits) for s in seeds] for feats in (shingles(words_of(t.as_py()), size) for t in texts)]
+            features = (shingles(words_of(t.as_py()), size) for t in texts)
+            found = [[fingerprint(f, s, bits) for s in seeds] for f in (set(x) if distinct else x for x in features)]
             values = np.array(found, dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
             for k in range(len(seeds)):
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.full(len(ids), k, np.int32)), pa.array(np.ascontiguousarray(values[:, k]))], names=["doc_id", "view", "fp"])
@@ -71,13 +72,13 @@ def _fingerprints(size: int, seeds: tuple[int, ...], bits: int):
     return run
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, seeds: tuple[int, ...] = (42,), bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, seeds: tuple[int, ...] = (42,), bits: int = 64, distinct: bool = False) -> DataFrame:
     """``(doc_id, view, fp)`` per document and seed, over whole texts; null and blank texts have fingerprint 0.
 
-    ``fp`` is the unsigned fingerprint in a signed long. A repeated doc_id has a row for each of its rows.
+    ``distinct``: shingles count once instead of with repeats. ``fp`` is the unsigned fingerprint in a signed long. A repeated doc_id has a row for each of its rows.
     """
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return plain.mapInArrow(_fingerprints(shingle_words, tuple(seeds), bits), "doc_id long, view int, fp long")
+    return plain.mapInArrow(_fingerprints(shingle_words, tuple(seeds), bits, distinct), "doc_id long, view int, fp long")
 
 
 @cache
@@ -170,8 +171,9 @@ def _linked(bits: int, prefix: int, radius: int, limit: int):
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius  # verified, though the triangle inequality has it so
         a, b = a[near], b[near]
-        # one node for each fingerprint, whatever the prefixes it came by
-        node_fp, node = np.unique(fp, return_inverse=True)
+        # one node for each view and fingerprint, whatever the prefixes it came by
+        tagged = fp if bits == 64 else fp | ((key >> prefix).view(np.uint64) << np.uint64(bits))
+        node_fp, node = np.unique(tagged, return_inverse=True)
         label = _forest(len(node_fp), node[a], node[b])
         child = np.flatnonzero(label != np.arange(len(node_fp)))
         if not len(child):
@@ -204,8 +206,9 @@ def _linked(bits: int, prefix: int, radius: int, limit: int):
 def fingerprint_links(distinct: DataFrame, radius: int = 4, bits: int = 64, prefix: int = 12, chunk: int = CHUNK) -> DataFrame:
     """Links ``(u, v)`` that span the same components as all pairs of fingerprints within ``radius`` bits.
 
-    ``distinct``: (view int, fp long) without repeats; fingerprints meet within a view only. Each link is a
-    pair that a chain of verified pairs connects.
+    ``distinct``: (view int, fp long) without repeats; fingerprints meet within a view only. With fewer than
+    64 bits, ``u`` and ``v`` carry the view above the fingerprint; with 64 there is one view. Each link is
+    a pair that a chain of verified pairs connects.
     """
     if radius % 2 or not 0 < prefix < bits <= 64:
         raise ValueError("the radius is even; the prefix is shorter than the fingerprint")
