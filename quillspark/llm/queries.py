@@ -7,14 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_groups
+from .media import media_columns, media_digest, text_media
 from .packing import pack, pieces_digest
 from .pii import find_pii, pii_digest
 from .simhash import simhash_components
 from .toxicity import toxicity
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` as media containers, and their metadata."""
+    return media_digest(media_columns(text_media(table(spark, sf_dir, "documents"))))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts in ``documents``."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -25,6 +32,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted ``conversations``, and conversation -7 that speaks in control strings, read back."""
+    hard = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    extra = spark.createDataFrame(hard, "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Pieces of ``documents`` in sequences of 2048 ids."""
     return pieces_digest(pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
@@ -42,8 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_chat": op2_chat,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_media": op5_media,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
