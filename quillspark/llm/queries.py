@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .chat import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_groups
@@ -22,6 +23,13 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(media_columns(text_media(table(spark, sf_dir, "documents"))))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Ids of ``documents`` and the bytes they decode to."""
+    path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.ids_digest(bpe.decode(encoded, path, public_tokenizers.PATTERN))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts in ``documents``."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_media": op5_media,
+    "op6_bpe": op6_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
