@@ -11,9 +11,11 @@ from . import bpe
 from .chat import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_groups
+from .language import identify
 from .media import media_columns, media_digest, text_media
 from .packing import pack, pieces_digest
 from .pii import find_pii, pii_digest
+from .quality import quality
 from .simhash import simhash_components
 from .toxicity import toxicity
 
@@ -30,6 +32,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataF
     return bpe.ids_digest(bpe.decode(encoded, path, public_tokenizers.PATTERN))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each of ``documents``."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of ``documents``, learned from ``labels``."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts in ``documents``."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
