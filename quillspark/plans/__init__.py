@@ -1,7 +1,7 @@
 """Named queries over the test tables, with their SQL for an independent engine."""
 
-from . import search
+from . import graphs, search, usage
 
-_MODULES = [search]
+_MODULES = [search, usage, graphs]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
