@@ -91,13 +91,16 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
-    slow.encode_special_tokens = True
+    @cache
+    def slow() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
     def by_tokenizers(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     ranks = Path(path).with_suffix(".tiktoken")
     if not ranks.exists():

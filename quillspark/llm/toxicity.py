@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,9 @@ from .logistic import fit as fit_logistic
 from .logistic import sigmoid
 from .sampling import labelled_sample, remainder
 
-BOUND, MAX_ENTRIES, LEAST_EVIDENCE = 8000, 400, 9.0
+BOUND, MAX_ENTRIES, LEAST_EVIDENCE = 4000, 400, 9.0
+#: Words whose hits a task remembers.
+REMEMBERED = 150_000
 #: Runs of letters and digits, with the signs that stand for letters inside them.
 WORD = re.compile(r"[^\W_]+(?:[!@$*][^\W_]+)*")
 #: Signs and digits that stand for letters in disguised words.
@@ -53,7 +56,7 @@ class FuzzyTrie:
     """Deterministic automaton of the strings within the allowed edits of a set of words."""
 
     #: Transitions kept; beyond it they are forgotten and made again as needed.
-    KEEP = 200_000
+    KEEP = 50_000
 
     def __init__(self, words: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
@@ -131,6 +134,9 @@ class FuzzyTrie:
         return self.accept[state]
 
 
+_MEMORY: dict[str, tuple[FuzzyTrie, dict]] = {}
+
+
 @dataclass
 class Model:
     """A fitted lexicon with the weights of its features."""
@@ -139,14 +145,14 @@ class Model:
     stems: dict[str, float]
     harmless: frozenset[str]
     weights: np.ndarray
-    _trie: FuzzyTrie | None = field(default=None, repr=False, compare=False)
-    _known: dict[str, tuple[int, float] | None] = field(default_factory=dict, repr=False, compare=False)
-
-    def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "harmless": self.harmless, "weights": self.weights, "_trie": None, "_known": {}}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
+    def _memory(self) -> tuple[FuzzyTrie, dict[str, tuple[int, float] | None]]:
+        """The automaton and the words seen. A process keeps those of the last model only, though old models may linger in it."""
+        if self.name not in _MEMORY:
+            _MEMORY.clear()
+            _MEMORY[self.name] = FuzzyTrie(self.words), {}
+        return _MEMORY[self.name]
 
     def _look_up(self, word: str) -> tuple[int, float] | None:
         if word in self.words:
@@ -154,32 +160,30 @@ class Model:
         for k in range(3, min(8, len(word) - 1) + 1):
             if word[:k] in self.stems:
                 return 1, self.stems[word[:k]]
-        if self._trie is None:
-            self._trie = FuzzyTrie(self.words)
         if word in self.harmless:
             return None
         plain = word.translate(DISGUISES) if not word.isalpha() and any(c.isalpha() for c in word) else word
         if plain != word and plain in self.words:
             return 2, self.words[plain]
-        if len(word) >= 4 and (hit := self._trie.match(plain)):
+        if len(word) >= 4 and (hit := self._memory()[0].match(plain)):
             return 2, self.words[hit[0]] / (1 + hit[1])
         return None
 
-    def hit(self, word: str) -> tuple[int, float] | None:
-        """(0 term, 1 stem, 2 misspelling; weight) of a lower-case word, or nothing."""
-        try:
-            return self._known[word]
-        except KeyError:
-            if len(self._known) > 300_000:
-                self._known.clear()
-            found = self._known[word] = self._look_up(word)
-            return found
+    def hits(self, words: set[str]) -> dict[str, tuple[int, float]]:
+        """(0 term, 1 stem, 2 misspelling; weight) of those of the lower-case words that are hits."""
+        known = self._memory()[1]
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = self._look_up(word)
+        return {w: h for w in words if (h := known[w]) is not None}
 
     def features(self, text: str) -> np.ndarray:
         """Weighed hits by kind, their density and number of different ones, of the whole text."""
         low = text.lower()
         words = WORD.findall(low)
-        hits = {w: h for w in set(words) if (h := self.hit(w)) is not None}
+        hits = self.hits(set(words))
         sums, kinds = np.zeros(3), np.zeros(3)
         if hits:
             for m in WORD.finditer(low):
