@@ -43,3 +43,22 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 def one_row_each(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra input columns with clashing names can't interfere."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Rows of a few numbers (32 bytes at most) that may be sent to every task.
+SMALL_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if its count is within the bound.
+
+    Then a join with it moves no text; beyond the bound the join shuffles, with the same result.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let the session hand at most so many rows at a time to Arrow functions: whole documents are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, small, written
 
 #: Normalised characters that the second round hashes.
 PREFIX = 256
@@ -94,12 +94,16 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     shared = counted.where("_size > 1").select("_sha", F.lit(True).alias("_shared"))
     keep = written(counted.where("_size > 1").select("_sha", "_id"), "keepers")
     losers = narrow.join(shared, "_sha", "left_semi").join(keep, [narrow["_sha"].eqNullSafe(keep["_sha"]), narrow["_id"].eqNullSafe(keep["_id"])], "left_anti")
-    dropped = written(losers.select("_id", "_sha").distinct().withColumn("_gone", F.lit(True)), "dropped")
-    left = rows.join(dropped, [rows["_id"].eqNullSafe(dropped["_id"]), rows["_sha"].eqNullSafe(dropped["_sha"])], "left_anti")
+    # the digest's first eight bytes and the id tell a dropped row
+    first = F.conv(F.substring(F.hex("_sha"), 1, 16), 16, -10).cast("long")
+    dropped = small(written(losers.select("_id", first.alias("_first")).distinct(), "dropped"))
+    rows = rows.withColumn("_first", first)
+    left = rows.join(dropped, [rows["_id"].eqNullSafe(dropped["_id"]), rows["_first"] == dropped["_first"]], "left_anti")
     repeated = written(narrow.groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha").withColumn("_twice", F.lit(True)), "repeated")
     if repeated.isEmpty():
         return left.select("_row.*")
     twice = [left["_id"].eqNullSafe(repeated["_id"]), left["_sha"].eqNullSafe(repeated["_sha"])]
+    repeated = small(repeated)
     once = left.join(repeated, twice, "left_anti").select("_row")
     more = left.join(repeated, twice, "left_semi").groupBy("_id", "_sha").agg(F.first("_row").alias("_row")).select("_row")
     return once.unionByName(more).select("_row.*")

@@ -192,7 +192,7 @@ def _packed(path: str, end: int, capacity: int, windows: int, part: int, slack:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc, np.concatenate([encode(text.as_py() or ""), tail]))
-                if len(packer.rows) >= 4096:
+                if len(packer.rows) >= 512:
                     yield packer.batch()
         packer.close()
         if packer.rows:

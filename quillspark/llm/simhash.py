@@ -29,7 +29,7 @@ from .common import written
 from .components import components
 
 #: Variants that a task holds at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
