@@ -7,8 +7,8 @@ with ``df`` document counts and ``c(t, e)`` the documents in which term t stands
     PMI(t; e) = ln(N c(t, e) / (df(t) df(e)))        IC(e) = ln(N / df(e))
 
 A term whose PMI reaches ``generalise`` times IC(e) is generalised, from ``remove`` times on it is
-removed (PMI = IC means that the term occurs with that entity only). Pairs seen in fewer than
-``support`` documents are no evidence and count as not disclosing.
+removed (PMI = IC means that the term occurs with that entity only). Rare entities and terms count like
+any other: most personal data occurs in one document, and a rare word beside it tells the most.
 
 DataFrame functions only. Scale: texts are scanned once for patterns and windows and once for document
 counts, and never shuffled; what is shuffled are counts (summed before) and the windows' terms, at most
@@ -131,17 +131,17 @@ def _mentions(found: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, documents: int, text: str = "text", generalise: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, documents: int, text: str = "text", generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """``(entity, term, removed)`` of the pairs whose disclosure ratio PMI / IC reaches a threshold.
 
     ``removed`` tells whether the higher threshold is reached. An entity in every document has no
     information to protect and discloses nothing.
     """
     once = mentions.select("entity", "term", "doc_id", "row_key").distinct()
-    together = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
-    entities = mentions.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= support)
+    together = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
+    entities = mentions.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.col("df_term") >= support)
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     n = F.lit(float(documents))
     ic = F.ln(n / F.col("df_entity"))
     pmi = F.ln(n * F.col("c") / (F.col("df_term") * F.col("df_entity")))
@@ -149,7 +149,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, documents: int, text:
     return rated.where(F.col("ratio") >= generalise).select("entity", "term", (F.col("ratio") >= remove).alias("removed"))
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 64, generalise: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 64, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """One row per document: doc_id, row_key, base and spans (arrays of ``start, kind, end``, sorted).
 
     Kinds 0 to 3 are ``KINDS``; 4 and 5 are ``TERM_KINDS``, the words that the method generalises or
@@ -159,7 +159,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     """
     found = written(find_base(docs, doc_id, text, window), "pii-base")
     mentions = written(_mentions(found), "pii-mentions")
-    flagged = disclosing_terms(docs, mentions, found.count(), text, generalise, remove, support)
+    flagged = disclosing_terms(docs, mentions, found.count(), text, generalise, remove)
     hits = (
         mentions.join(flagged, ["entity", "term"])
         .groupBy("doc_id", "row_key", "start", "end")

@@ -89,6 +89,13 @@ def test_terms_follow_the_disclosure_ratio(spark):
     assert any(s.kind == 5 for r in got.values() for s in r.spans)
 
 
+def test_terms_beside_an_entity_of_one_document(spark):
+    texts = [(i, "plain words everywhere") for i in range(99)] + [(99, "plain Zanzibar a@b.example words")]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got.pop(99) == [(6, 5, 14), (15, 0, 26)]
+    assert not any(got.values())
+
+
 def test_redaction_keeps_all_else(spark):
     docs = spark.createDataFrame([(1, "Mail é me@x.example now 10.0.0.1", "k"), (2, None, None), (3, "clean", "k"), (1, "Mail é me@x.example now 10.0.0.1", "k")], "doc_id long, text string, _id string")
     out = redacted(docs)
