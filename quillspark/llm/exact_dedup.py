@@ -5,12 +5,11 @@ Rows are grouped by length, then by the hash of a prefix, then by the hash of th
 round looks only at rows whose group still has two rows or more.
 
 Scale: the rounds run over a written table of 24-byte signatures. What is shuffled are counts per
-key, summed before the shuffle, and signatures; texts stay where they are read. The keys that survive
-the second round are counted: up to ``BROADCAST_KEYS`` (16 bytes each) they go to the readers, which
-then hash the survivors' texts only; beyond it every text is hashed where it is read, because hashing
-costs less than moving texts to a join. Both ways give the same rows. A hot key is split by adaptive
-execution (joins) or met by partial aggregation (groups); the row that stays is a ``max`` over a struct,
-so no group is ever collected.
+key, summed before the shuffle; texts stay where they are read. A round hands its surviving keys to the
+next one as a bitmap of fixed size (see ``common``), at every size alike: a key that is let through by
+chance only costs a hash, since the full hash decides. Groups are met by partial aggregation, and the row
+that stays is a ``max`` over a struct, so no group is ever collected and no join has a text length,
+which may be hot, as its key.
 """
 
 from __future__ import annotations
@@ -18,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, written
+from .common import SPACES, WORDS, possibly, within, without, written
 
 #: Normalised characters that the second round hashes.
 PREFIX = 256
-#: Surviving (length, prefix hash) keys that are sent to the readers, at most.
-BROADCAST_KEYS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -31,24 +28,21 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _refined(docs: DataFrame, doc_id: str, text: str, prefix: int, broadcast_keys: int) -> DataFrame:
+def _refined(docs: DataFrame, doc_id: str, text: str, prefix: int, words: int) -> DataFrame:
     """Rows ``(_row, _id, _sha)``: the input row, its id and the digest, null where no other row can be equal."""
     body = F.col("_row").getField(text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"))
     norm = normalised(body)
-    keyed = rows.withColumns({"_len": F.length(norm), "_pre": F.xxhash64(F.substring(norm, 1, prefix))})
-    signatures = written(keyed.select("_len", "_pre"), "signatures")
+    signature = {"_len": F.length(norm), "_pre": F.xxhash64(F.substring(norm, 1, prefix))}
+    signatures = written(rows.select(*[c.alias(k) for k, c in signature.items()]), "signatures")
     by_length = signatures.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len")
-    by_prefix = signatures.join(by_length, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    keys = written(by_prefix.select("_len", "_pre", F.lit(True).alias("_open")), "survivors")
-    digest = F.unhex(F.sha2(norm, 256))
-    if keys.count() <= broadcast_keys:
-        marked = keyed.join(F.broadcast(keys), ["_len", "_pre"], "left")
-        return marked.select("_row", "_id", F.when(F.col("_open"), digest).alias("_sha"))
-    return keyed.select("_row", "_id", digest.alias("_sha"))
+    open_ = possibly(signatures, [F.col("_len")], by_length, words).where("_maybe")
+    by_prefix = open_.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    keyed = possibly(rows.withColumns(signature), [F.col("_len"), F.col("_pre")], by_prefix.select("_len", "_pre"), words)
+    return keyed.select("_row", "_id", F.when(F.col("_maybe"), F.unhex(F.sha2(norm, 256))).alias("_sha"))
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest
@@ -59,7 +53,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     body = F.col("_row").getField("text")
     rows = written(
-        _refined(plain, "doc_id", "text", prefix, broadcast_keys).select(
+        _refined(plain, "doc_id", "text", prefix, words).select(
             F.col("_id").alias("doc_id"),
             "_sha",
             F.length(F.coalesce(body, F.lit(""))).alias("_chars"),
@@ -80,13 +74,13 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     )
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``; groups and choice as in :func:`exact_groups`.
 
-    One row stays of each group, also when a doc_id repeats in it. Rows that stay are found by the kept
-    row's id, a key without hot values, so a group with a third of all rows is dropped without being gathered.
+    One row stays of each group, also when a doc_id repeats in it. Rows are dropped by id and digest, a key
+    without hot values, so a group with a third of all rows is dropped without being gathered. Runs jobs at once.
     """
-    rows = _refined(docs, doc_id, text, prefix, broadcast_keys)
+    rows = _refined(docs, doc_id, text, prefix, words)
     chars = F.length(F.coalesce(F.col("_row").getField(text), F.lit("")))
     narrow = written(rows.where("_sha is not null").select("_id", "_sha", chars.alias("_chars")), "digests")
     best = F.max_by(F.col("_id"), F.struct(F.col("_chars"), -F.col("_id")))
@@ -96,14 +90,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     losers = narrow.join(shared, "_sha", "left_semi").join(keep, [narrow["_sha"].eqNullSafe(keep["_sha"]), narrow["_id"].eqNullSafe(keep["_id"])], "left_anti")
     # the digest's first eight bytes and the id tell a dropped row
     first = F.conv(F.substring(F.hex("_sha"), 1, 16), 16, -10).cast("long")
-    dropped = small(written(losers.select("_id", first.alias("_first")).distinct(), "dropped"))
-    rows = rows.withColumn("_first", first)
-    left = rows.join(dropped, [rows["_id"].eqNullSafe(dropped["_id"]), rows["_first"] == dropped["_first"]], "left_anti")
-    repeated = written(narrow.groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha").withColumn("_twice", F.lit(True)), "repeated")
+    row_key = [F.col("_id"), F.col("_first")]
+    dropped = written(losers.select("_id", first.alias("_first")).distinct(), "dropped")
+    left = without(rows.withColumn("_first", first), row_key, dropped, words)
+    repeated = written(narrow.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", first.alias("_first")), "repeated")
     if repeated.isEmpty():
         return left.select("_row.*")
-    twice = [left["_id"].eqNullSafe(repeated["_id"]), left["_sha"].eqNullSafe(repeated["_sha"])]
-    repeated = small(repeated)
-    once = left.join(repeated, twice, "left_anti").select("_row")
-    more = left.join(repeated, twice, "left_semi").groupBy("_id", "_sha").agg(F.first("_row").alias("_row")).select("_row")
+    once = without(left, row_key, repeated, words).select("_row")
+    more = within(left, row_key, repeated, words).groupBy("_id", "_sha").agg(F.first("_row").alias("_row")).select("_row")
     return once.unionByName(more).select("_row.*")

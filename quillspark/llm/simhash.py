@@ -6,11 +6,13 @@ have a variant in common are linked. By the triangle inequality each such pair i
 the pairs are verified all the same.
 
 The variants are made in two steps that keep the shuffle small: a fingerprint is sent once to each
-*variant prefix* (79 rows for 12 bits and half a radius of 2), and the receiving task enumerates the
-variants that begin with that prefix (2,081 in all). A task handles one run of prefixes after another;
-a prefix with very many fingerprints is divided by further bits, so memory stays bounded. Fingerprints
-that share variants are joined in a forest per task (never all pairs), and the forests in distributed
-components. Equal fingerprints are one node from the start, so a group of copies costs one row.
+*variant prefix* within half the radius (22 rows for 6 bits, 211 for 20), and the receiving task
+enumerates the variants that begin with that prefix (2,081 in all). The prefixes are as long as the
+number of fingerprints asks, so that one holds ``FULL`` on average. Rows are counted per prefix first:
+where there are more than ``LIMIT``, the prefix is dealt anew as longer ones, and so on, so a task never
+holds more than that many fingerprints at a time, however alike they are. Fingerprints that share
+variants are joined in a forest per prefix (never all pairs), and the forests in distributed components.
+Equal fingerprints are one node from the start, so a group of copies costs one row.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .components import components
 
 #: Variants that a task holds at a time.
 CHUNK = 1_000_000
+#: Fingerprints of a prefix: on average at most, and the number beyond which the prefix is dealt anew with ``STEP`` more bits.
+FULL, LIMIT, STEP = 100_000, 500_000, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,7 +54,11 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 def fingerprint(features: Iterable[bytes], seed: int = 42, bits: int = 64) -> int:
     """A bit is 1 if it is set in over half of the features' XXH64 values; 0 without features."""
     digest = xxhash.xxh64_intdigest
-    values = np.array([digest(x, seed) for x in features], dtype="<u8")
+    return majority(np.array([digest(x, seed) for x in features], dtype="<u8"), bits)
+
+
+def majority(values: np.ndarray, bits: int = 64) -> int:
+    """The lowest ``bits`` bits that are set in over half of the 64-bit values; 0 without values."""
     if not len(values):
         return 0
     counts = np.zeros(64, np.int64)
@@ -87,20 +95,74 @@ def masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)], dtype=np.uint64)
 
 
-def _to_prefixes(bits: int, prefix: int, half: int):
+#: A key is the view, the prefix's length and the prefix: 4, 6 and 53 bits.
+_LENGTH, _VIEW = 53, 59
+
+
+def _key(view: np.ndarray, length: int, value: np.ndarray) -> np.ndarray:
+    return (view.astype(np.int64) << _VIEW) | (length << _LENGTH) | value.view(np.int64)
+
+
+def _dealt(view: np.ndarray, fp: np.ndarray, bits: int, prefix: int, half: int, hot: list[np.ndarray], level: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(keys, rows)``: the prefixes to which each fingerprint goes. Those in ``hot`` (sorted keys of each level) are left for longer ones.
+
+    ``level``: only the keys of that level, whether hot or not.
+    """
+    rows, value, owed, length = np.arange(len(fp)), np.zeros(len(fp), np.uint64), np.full(len(fp), half), 0
+    for k in range(len(hot) + 1):
+        step = prefix if k == 0 else STEP
+        following = (fp[rows] >> np.uint64(bits - length - step)) & np.uint64((1 << step) - 1)
+        parts = []
+        for o in np.unique(owed):
+            at = np.flatnonzero(owed == o)
+            flips = masks(step, int(o))
+            wide = ((value[at] << np.uint64(step)) | following[at])[:, None] ^ flips[None, :]
+            left = np.broadcast_to(o - np.bitwise_count(flips).astype(np.int64), wide.shape)
+            parts.append((np.repeat(rows[at], len(flips)), wide.ravel(), left.ravel()))
+        if not parts:
+            return
+        rows, value, owed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        length += step
+        keys = _key(view[rows], length, value)
+        again = np.isin(keys, hot[k]) if k < len(hot) else np.zeros(len(keys), bool)
+        if level is None or level == k:
+            go = ~again if level is None else slice(None)
+            yield keys[go], rows[go]
+        rows, value, owed = rows[again], value[again], owed[again]
+
+
+def _to_prefixes(bits: int, prefix: int, half: int, hot: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = masks(prefix, half)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 view, fp = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64)
-                top = (fp >> np.uint64(bits - prefix))[:, None] ^ flips[None, :]
-                key = (view.astype(np.int64)[:, None] << prefix) | top.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp.view(np.int64), len(flips)))], names=["prefix", "fp"])
+                for keys, rows in _dealt(view, fp, bits, prefix, half, hot):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows].view(np.int64))], names=["prefix", "fp"])
 
     return run
 
 
+def _hot_prefixes(distinct: DataFrame, bits: int, prefix: int, half: int, limit: int) -> list[np.ndarray]:
+    """Per level the sorted keys with more rows than ``limit``. Only counts are shuffled; there are less than rows / limit such keys."""
+    hot: list[np.ndarray] = []
+    while prefix + (len(hot) + 1) * STEP <= min(_LENGTH, bits - STEP):
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                view, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+                for keys, _ in _dealt(view, fp, bits, prefix, half, hot, level=len(hot)):
+                    key, n = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+        sums = distinct.select("view", "fp").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        full = sorted(r["key"] for r in sums.where(F.col("n") > limit).select("key").collect())
+        if not full:
+            break
+        hot.append(np.array(full, np.int64))
+    return hot
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least label reachable of each of n nodes, over the edges (a, b)."""
     label = np.arange(n)
@@ -158,63 +220,69 @@ def _meet(fp: np.ndarray, owed: np.ndarray, fixed: np.ndarray, free: int, limit:
     yield head[apart], source[apart]
 
 
-def _linked(bits: int, prefix: int, radius: int, limit: int):
+def _linked(bits: int, radius: int, limit: int):
     half = radius // 2
-    free = bits - prefix
-
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        top = (fp >> np.uint64(free)) ^ (key.view(np.uint64) & np.uint64((1 << prefix) - 1))
-        owed = half - np.bitwise_count(top).astype(np.int64)
-        found = list(_meet(fp, owed, np.unique(key, return_inverse=True)[1].astype(np.uint64), free, limit))
-        if not found:
-            return None
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= radius  # verified, though the triangle inequality has it so
-        a, b = a[near], b[near]
-        # one node for each view and fingerprint, whatever the prefixes it came by
-        tagged = fp if bits == 64 else fp | ((key >> prefix).view(np.uint64) << np.uint64(bits))
-        node_fp, node = np.unique(tagged, return_inverse=True)
-        label = _forest(len(node_fp), node[a], node[b])
-        child = np.flatnonzero(label != np.arange(len(node_fp)))
-        if not len(child):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(node_fp[child].view(np.int64)), pa.array(node_fp[label[child]].view(np.int64))], names=["u", "v"])
+
+    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # fingerprints of one view and length of prefix can meet
+        kind = key >> _LENGTH
+        for k in np.unique(kind):
+            mine = np.flatnonzero(kind == k)
+            view, free = int(k) >> (_VIEW - _LENGTH), bits - (int(k) & ((1 << (_VIEW - _LENGTH)) - 1))
+            own, f = key[mine] & ((1 << _LENGTH) - 1), fp[mine]
+            owed = half - np.bitwise_count((f >> np.uint64(free)) ^ own.view(np.uint64)).astype(np.int64)
+            found = list(_meet(f, owed, np.unique(own, return_inverse=True)[1].astype(np.uint64), free, limit))
+            if not found:
+                continue
+            a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            near = np.bitwise_count(f[a] ^ f[b]) <= radius  # verified, though the triangle inequality has it so
+            a, b = a[near], b[near]
+            # one node for each fingerprint, whatever the prefixes it came by
+            node_fp, node = np.unique(f if bits == 64 else f | np.uint64(view << bits), return_inverse=True)
+            label = _forest(len(node_fp), node[a], node[b])
+            child = np.flatnonzero(label != np.arange(len(node_fp)))
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(node_fp[child].view(np.int64)), pa.array(node_fp[label[child]].view(np.int64))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        fps: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         held, most = 0, max(1, limit // 16)
         for batch in batches:
             key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            while len(key):
-                if held + len(key) <= most:
-                    keys.append(key), fps.append(fp)
-                    held += len(key)
-                    break
+            if not len(key):
+                continue
+            parts.append((key, fp))
+            held += len(key)
+            if held > most and parts[0][0][0] != key[-1]:
                 # close what is held at the last change of prefix
-                all_key, all_fp = np.concatenate([*keys, key]), np.concatenate([*fps, fp])
-                cut = np.searchsorted(all_key, all_key[-1])
-                keys, fps, held, key = [all_key[cut:]], [all_fp[cut:]], len(all_key) - cut, key[:0]
-                if cut and (out := links(all_key[:cut], all_fp[:cut])) is not None:
-                    yield out
-        if held and (out := links(np.concatenate(keys), np.concatenate(fps))) is not None:
-            yield out
+                all_key, all_fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+                cut = int(np.searchsorted(all_key, all_key[-1]))
+                parts, held = [(all_key[cut:].copy(), all_fp[cut:].copy())], len(all_key) - cut
+                yield from links(all_key[:cut], all_fp[:cut])
+        if held:
+            yield from links(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, bits: int = 64, prefix: int = 12, chunk: int = CHUNK) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 4, bits: int = 64, prefix: int | None = None, chunk: int = CHUNK, full: int = FULL, limit: int = LIMIT) -> DataFrame:
     """Links ``(u, v)`` that span the same components as all pairs of fingerprints within ``radius`` bits.
 
-    ``distinct``: (view int, fp long) without repeats; fingerprints meet within a view only. With fewer than
-    64 bits, ``u`` and ``v`` carry the view above the fingerprint; with 64 there is one view. Each link is
-    a pair that a chain of verified pairs connects.
+    ``distinct``: (view int below 16, fp long) without repeats, a written table; fingerprints meet within a view
+    only. With fewer than 64 bits, ``u`` and ``v`` carry the view above the fingerprint; with 64 there is one view.
+    Each link is a pair that a chain of verified pairs connects. ``prefix``, ``full`` and ``limit`` divide the work;
+    they change no result.
     """
+    half = radius // 2
+    if prefix is None:
+        n = distinct.count()
+        prefix = next((p for p in range(6, 21) if n * len(masks(p, half)) <= full << p), 20)
     if radius % 2 or not 0 < prefix < bits <= 64:
         raise ValueError("the radius is even; the prefix is shorter than the fingerprint")
-    sent = distinct.select("view", "fp").mapInArrow(_to_prefixes(bits, prefix, radius // 2), "prefix long, fp long")
+    hot = _hot_prefixes(distinct, bits, prefix, half, limit)
+    sent = distinct.select("view", "fp").mapInArrow(_to_prefixes(bits, prefix, half, hot), "prefix long, fp long")
     dealt = sent.repartition("prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(_linked(bits, prefix, radius, chunk), "u long, v long")
+    return dealt.mapInArrow(_linked(bits, radius, chunk), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, shingle_words: int = 4, seed: int = 42) -> DataFrame:

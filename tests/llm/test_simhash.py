@@ -1,13 +1,14 @@
 """SimHash against a brute-force version, and on the cases its docstrings define."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.simhash import fingerprint, fingerprint_links, shingles, simhash_components, words_of
+from quillspark.llm.simhash import _dealt, _hot_prefixes, fingerprint, fingerprint_links, shingles, simhash_components, words_of
 
 
 def brute(texts):
@@ -72,13 +73,33 @@ def test_links_in_dense_balls_and_small_chunks(spark):
     for node, root in want.items():
         groups.setdefault(root, set()).add(node)
     want_sets = {frozenset(g) for g in groups.values() if len(g) > 1}
-    for chunk in (1_000, 4_000_000):
+    for settings in ({"chunk": 1_000}, {"chunk": 4_000_000, "prefix": 12}, {"limit": 20}, {"prefix": 2, "limit": 3}):
         found = {}
-        for u, root in components(fingerprint_links(df, chunk=chunk)).collect():
+        for u, root in components(fingerprint_links(df, **settings)).collect():
             found.setdefault(root, {root}).add(u)
         assert {frozenset(g) for g in found.values()} == want_sets
 
 
+def test_one_prefix_with_ten_times_what_a_task_holds(spark):
+    rng, held, top = random.Random(4), 1000, 0b101101 << 58
+    centres = [rng.getrandbits(58) for _ in range(5 * held)]
+    values = {top | c for c in centres} | {top | c ^ (1 << rng.randrange(58)) ^ (1 << rng.randrange(58)) for c in centres}
+    assert len(values) > 9.9 * held
+    signed = [v - (1 << 64) for v in values]
+    df = spark.createDataFrame([(0, v) for v in signed], "view int, fp long")
+    hot = _hot_prefixes(df, 64, 6, 2, held)
+    assert len(hot) >= 1 and all(len(h) for h in hot)
+    most = Counter()
+    for keys, _ in _dealt(np.zeros(len(signed), np.int32), np.array(signed, np.int64).view(np.uint64), 64, 6, 2, hot):
+        most.update(keys.tolist())
+    assert max(most.values()) <= held
+    got = {u: r for u, r in components(fingerprint_links(df, prefix=6, limit=held, chunk=held)).collect()}
+    near = {c - (1 << 64) if c >> 63 else c for c in (top | c for c in centres)}
+    assert len({got.get(v, v) for v in signed}) <= len(near)  # every copy is with its centre
+    plain = {u: r for u, r in components(fingerprint_links(df, prefix=12)).collect()}
+    assert got == plain
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(3, "a b c d e"), (3, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
