@@ -10,9 +10,10 @@ Template: ``<<SYS>> system <</SYS>>``, ``[INST] user [/INST]``, ``<s> assistant
 ``<role:HEX> other </role>`` for any other role, HEX being the role's UTF-8. Control strings and
 backslashes inside texts get a backslash before them, which reading undoes.
 
-Scale: formatting is row by row in DataFrame functions. Offsets are a running sum per conversation over
-narrow rows. Reading back streams the turns of a conversation in order through one task with bounded
-memory (one turn and the hash states), because SHA-256 is sequential.
+Scale: formatting is row by row in DataFrame functions. Offsets are a running sum per conversation, which deals
+the turns by conversation, once. Reading back takes the turns and the examples of a conversation in order through
+one task with bounded memory (one turn and the hash states). A conversation can't be divided further, because its
+SHA-256 is sequential: one with a third of all turns takes one task, which spills but holds no more than a turn.
 """
 
 from __future__ import annotations
@@ -68,23 +69,32 @@ def format_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     return c.select("conv_id", "turn", F.concat(opening, "body", closing).alias("formatted"), start.alias("loss_start"), (start + F.length("body")).alias("loss_end"))
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, turn, context_chars, loss_start, loss_end, example_chars, in the conversation's text.
+def placed(formatted: DataFrame) -> DataFrame:
+    """The turns with ``context_chars``, where each begins in its conversation's text: a running sum in the order of turns.
 
-    The example is the conversation's formatted text up to ``example_chars``; turns that repeat a number
-    are ordered by their formatted text.
+    Turns that repeat a number are ordered by their formatted text.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    narrow = formatted.select("conv_id", "turn", F.sha2("formatted", 256).alias("tie"), F.length("formatted").cast("long").alias("chars"), "loss_start", "loss_end")
-    placed = narrow.withColumn("context_chars", F.coalesce(F.sum("chars").over(order), F.lit(0)))
-    return placed.where("loss_start is not null").select(
-        "conv_id",
-        "turn",
-        "context_chars",
+    turns = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end").withColumn("tie", F.sha2("formatted", 256))
+    return turns.withColumn("context_chars", F.coalesce(F.sum(F.length("formatted").cast("long")).over(order), F.lit(0).cast("long"))).drop("tie")
+
+
+def _example() -> list[Column]:
+    """Prefix-target expansion of a placed turn: the context before it, and where its reply lies in the conversation's text."""
+    return [
+        F.col("context_chars"),
         (F.col("context_chars") + F.col("loss_start")).alias("loss_start"),
         (F.col("context_chars") + F.col("loss_end")).alias("loss_end"),
-        (F.col("context_chars") + F.col("chars")).alias("example_chars"),
-    )
+        (F.col("context_chars") + F.length("formatted")).alias("example_chars"),
+    ]
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, turn, context_chars, loss_start, loss_end, example_chars, in the conversation's text.
+
+    The example is the conversation's formatted text up to ``example_chars``; only its loss range is trainable.
+    """
+    return placed(formatted).where("loss_start is not null").select("conv_id", "turn", *_example())
 
 
 class Reader:
@@ -124,18 +134,25 @@ class _Digest:
     turns: object = field(default_factory=hashlib.sha256)
     loss: object = field(default_factory=hashlib.sha256)
     counts: list[int] = field(default_factory=lambda: [0] * 5)
+    last: str = ""
 
-    def add(self, piece: str, start: int | None, end: int | None) -> None:
+    def turn(self, piece: str) -> None:
+        """The next turn of the text."""
         for role, text, _ in self.reader.feed(piece):
             self.turns.update(f"{role}\n{text}\n".encode())
             self.counts[0] += 1
-        self.counts[2] += len(piece)
-        if start is not None:
-            trained = unescaped(piece[start:end])
-            self.loss.update(trained.encode())
-            self.counts[1] += len(trained)
-            self.counts[3] += 1
-            self.counts[4] += self.counts[2]
+        self.last, self.counts[2] = piece, self.counts[2] + len(piece)
+
+    def example(self, start: int, end: int, chars: int) -> None:
+        """An example that ends with the last turn: its reply is read through its own offsets."""
+        begun = self.counts[2] - len(self.last)
+        if not begun <= start <= end <= chars == self.counts[2]:
+            raise ValueError("an example's reply lies outside its last turn")
+        trained = unescaped(self.last[start - begun : end - begun])
+        self.loss.update(trained.encode())
+        self.counts[1] += len(trained)
+        self.counts[3] += 1
+        self.counts[4] += chars
 
     def row(self) -> tuple:
         if self.reader.rest:
@@ -159,12 +176,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     for batch in batches:
-        for conv, text, start, end in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+        for conv, text, start, end, chars in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_start", "loss_end", "example_chars")), strict=True):
             if now is None or now.conv_id != conv:
                 if now is not None:
                     done.append(now.row())
                 now = _Digest(conv)
-            now.add(text, start, end)
+            if chars is None:
+                now.turn(text)
+            else:
+                now.example(start, end, chars)
         if len(done) >= 1000:
             yield out()
     if now is not None:
@@ -174,14 +194,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read from its formatted text: counts and digests of turns and of the text under the loss mask.
+    """One row per conversation, read from its formatted text and its examples: counts and digests of turns and of the text under the loss masks.
 
-    ``formatted_chars`` counts the stored text, ``example_chars`` what all examples hold together. A null
-    conv_id is a conversation; no turns give no row.
+    What is trained is read example by example, through each one's offsets. ``formatted_chars`` counts the stored
+    text, ``example_chars`` what all examples hold together. A null conv_id is a conversation; no turns give no row.
     """
-    rows = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "formatted", "loss_start", "loss_end")
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.sha2("formatted", 256))
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_read, _SCHEMA)
+    turns = placed(formatted.withColumn("conv_id", F.col("conv_id").cast("long")))
+    nothing = F.lit(None).cast("long")
+    turn = F.struct(F.lit(0).alias("kind"), F.col("formatted"), nothing.alias("loss_start"), nothing.alias("loss_end"), nothing.alias("example_chars"))
+    example = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("formatted"), *_example()[1:])
+    rows = turns.select("conv_id", "context_chars", F.explode(F.when(F.col("loss_start").isNull(), F.array(turn)).otherwise(F.array(turn, example))).alias("r"))
+    # the turns lie by conversation already; an example follows the turn that it ends with
+    ordered = rows.sortWithinPartitions("conv_id", "context_chars", "r.kind")
+    return ordered.select("conv_id", "r.formatted", "r.loss_start", "r.loss_end", "r.example_chars").mapInArrow(_read, _SCHEMA)
 
 
 def expanded(formatted: DataFrame) -> DataFrame:
