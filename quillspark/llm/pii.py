@@ -212,19 +212,25 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, documents: int, general
     return rated.groupBy("did", "row_key", "term").agg((F.max("ratio") >= remove - 1e-9).alias("removed"))
 
 
-def _found(docs: DataFrame, doc_id: str, text: str, generalise: float, remove: float) -> DataFrame:
-    """Rows ``(_row, base, spans)``: the input row as a struct, the pattern spans and all spans."""
+def _found(docs: DataFrame, doc_id: str, text: str, generalise: float, remove: float, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(_row, base, spans)`` with pattern spans, and ``(_row)`` without; ``_row`` is the input row as a struct.
+
+    ``whole``: the texts without spans are asked for too; else they are null there.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     body = F.coalesce(F.col("_row").getField(text), F.lit(""))
-    rows = written(rows.withColumn("base", _with_base(body)), "pii-base")
-    some = rows.where(F.size("base") > 0).select("_row", "base", F.xxhash64(F.col("_row").getField(doc_id)).alias("did"), F.xxhash64(body).alias("row_key"), body.alias("text"))
-    flagged = disclosing_terms(rows.select(body.alias("text")), some.select("did", "row_key", "text", "base"), rows.count(), generalise, remove)
+    based = rows.withColumn("base", _with_base(body))
+    if not whole:
+        based = based.withColumn("_row", F.when(F.size("base") > 0, F.col("_row")).otherwise(F.col("_row").withField(text, F.lit(None).cast("string"))))
+    based = written(based, "pii-base")
+    some = based.where(F.size("base") > 0).select("_row", "base", F.xxhash64(F.col("_row").getField(doc_id)).alias("did"), F.xxhash64(body).alias("row_key"), body.alias("text"))
+    flagged = disclosing_terms(rows.select(body.alias("text")), some.select("did", "row_key", "text", "base"), based.count(), generalise, remove)
     listed = lambda which: F.concat(F.lit(" "), F.array_join(F.collect_list(F.when(which, F.col("term"))), " "), F.lit(" "))
     lists = written(flagged.groupBy("did", "row_key").agg(listed(~F.col("removed")).alias("generalised"), listed(F.col("removed")).alias("gone")), "pii-terms")
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    joined = some.join(lists, ["did", "row_key"], "left").select("_row", bare.alias("base"), F.when(F.col("generalised").isNotNull(), _term_spans(F.col("text"), F.col("generalised"), F.col("gone"))).alias("terms"))
-    joined = joined.select("_row", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
-    return joined.unionByName(rows.where(F.size("base") == 0).select("_row", bare.alias("base"), bare.alias("spans")))
+    terms = F.coalesce(F.when(F.col("generalised").isNotNull(), _term_spans(F.col("text"), F.col("generalised"), F.col("gone"))), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    joined = some.join(lists, ["did", "row_key"], "left").select("_row", bare.alias("base"), F.array_sort(F.concat(bare, terms)).alias("spans"))
+    return joined, based.where(F.size("base") == 0).select("_row")
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -236,7 +242,9 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", genera
     empty table gives an empty result. Runs jobs at once.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return _found(plain, "doc_id", "text", generalise, remove).select("_row.doc_id", "base", "spans")
+    some, none = _found(plain, "doc_id", "text", generalise, remove, whole=False)
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return some.select("_row.doc_id", "base", "spans").unionByName(none.select("_row.doc_id", empty.alias("base"), empty.alias("spans")))
 
 
 def rendered(spans: Column) -> Column:
@@ -263,7 +271,7 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", genera
     among them, stay as they are; all columns pass through. Runs jobs at once.
     """
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]"), F.lit(""))
-    found = _found(docs, doc_id, text, generalise, remove)
+    found, same = _found(docs, doc_id, text, generalise, remove, whole=True)
     body = F.col("_row").getField(text)
     # a span that begins before an earlier one has ended belongs to that one
     ends = F.transform("spans", lambda s: s["end"])
@@ -273,11 +281,9 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", genera
     blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     parts = F.transform("spans", lambda s, i: F.when((i > 0) & (s["start"] < before(i)), F.lit("")).otherwise(F.concat(_cut(F.col("_blocks"), before(i), s["start"]), F.get(tags, s["kind"]))))
     tail = _cut(F.col("_blocks"), F.element_at("_reach", -1), F.length(body))
-    # the pieces of the rows with spans only
-    some = found.where(F.size("spans") > 0).select("_row", "spans", reach.alias("_reach"), blocks.alias("_blocks"))
+    some = found.select("_row", "spans", reach.alias("_reach"), blocks.alias("_blocks"))
     changed = some.select("_row", F.concat(F.array_join(parts, ""), tail).alias("_clean"))
-    same = found.where(F.size("spans") == 0).select("_row", body.alias("_clean"))
-    return changed.unionByName(same).select(*[F.col("_clean").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return changed.unionByName(same.select("_row", body.alias("_clean"))).select(*[F.col("_clean").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
