@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Matches and prefixes that a task remembers.
+#: Matches and prefixes that a task remembers; none is longer than 64 bytes, so that these bound bytes too.
 PIECES, PREFIXES, PAIRS = 500_000, 600_000, 400_000
 
 

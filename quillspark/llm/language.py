@@ -3,8 +3,8 @@
 Texts are put in lower case, runs without letters become one space, and every n-gram of one to three
 characters is hashed to a bucket. Training counts buckets per language over all training rows: each task
 sums its own counts and what is shuffled is one number for each language and used bucket of a task.
-The matrix of log-probabilities has ``languages * BUCKETS`` entries, ``MAX_LANGUAGES`` rows at most, and
-is broadcast; scoring gathers its rows for a batch's n-grams and sums them by document.
+The matrix of log-probabilities takes ``4 * BUCKETS`` bytes (131 kB) a language and is broadcast; scoring
+gathers its rows for a batch's n-grams, ``BLOCK`` languages at a time, and sums them by document.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .codes import joined, letters, steps
 from .sampling import remainder
 
-BUCKETS, LONGEST, MAX_LANGUAGES = 1 << 15, 3, 256
+BUCKETS, LONGEST = 1 << 15, 3
+#: Languages that are scored together, and that a task counts before it hands its counts on.
+BLOCK, HELD = 64, 256
 UNKNOWN = "und"
 
 
@@ -47,24 +49,33 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for x, n in docs.items():
+            counts = sums.get(x, np.zeros(BUCKETS, np.int64))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n).astype(np.int64))], names=["lang", "bucket", "n"])
+        sums.clear()
+        docs.clear()
+
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for first, part in steps(texts):
             own = langs[first : first + len(part)]
             names = sorted(set(own))
-            if len(names) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
             row = np.array([names.index(x) for x in own])
             for x in own:
                 docs[x] = docs.get(x, 0) + 1
             for owner, bucket in ngrams(part):
-                counts = np.bincount(row[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                keys, n = np.unique(row[owner] * BUCKETS + bucket, return_counts=True)
+                cuts = np.searchsorted(keys, np.arange(len(names) + 1) * BUCKETS)
                 for k, x in enumerate(names):
-                    sums[x] = sums[x] + counts[k] if x in sums else counts[k].copy()
-    for x, n in docs.items():
-        counts = sums.get(x, np.zeros(BUCKETS, np.int64))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n).astype(np.int64))], names=["lang", "bucket", "n"])
+                    if x not in sums:
+                        sums[x] = np.zeros(BUCKETS, np.int64)
+                    sums[x][keys[cuts[k] : cuts[k + 1]] - k * BUCKETS] += n[cuts[k] : cuts[k + 1]]
+            if len(docs) > HELD:
+                yield from out()
+    yield from out()
 
 
 class Model:
@@ -72,8 +83,6 @@ class Model:
 
     def __init__(self, counts: list[tuple[str, int, int]], smoothing: float = 0.5):
         self.languages = sorted({x for x, _, _ in counts})
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         at = {x: k for k, x in enumerate(self.languages)}
         table, docs = np.full((len(at), BUCKETS), smoothing), np.zeros(len(at))
         for x, bucket, n in counts:
@@ -82,7 +91,8 @@ class Model:
             else:
                 table[at[x], bucket] += n
         self.prior = np.log((docs + 1) / (docs.sum() + max(1, len(docs))))
-        self.logp = np.ascontiguousarray(np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32))
+        logp = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+        self.blocks = [np.ascontiguousarray(logp[k : k + BLOCK].T) for k in range(0, len(logp), BLOCK)]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its posterior probability; ``und`` and 0 without letters."""
@@ -93,7 +103,8 @@ class Model:
                 for owner, bucket in ngrams(part):
                     if len(owner):
                         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                        sums[owner[starts]] += np.add.reduceat(self.logp[bucket], starts, axis=0, dtype=np.float64)
+                        for k, block in enumerate(self.blocks):
+                            sums[owner[starts], k * BLOCK : k * BLOCK + block.shape[1]] += np.add.reduceat(block[bucket], starts, axis=0, dtype=np.float64)
                         seen[owner[starts]] = True
             for k in range(len(part)):
                 if not seen[k]:

@@ -259,11 +259,12 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            media = r["media"]
-            payload = b"".join(media[s["start"] : s["end"]] for s in r["payload"])
-            keys = ",".join(f"{s['start']}-{s['end']}" for s in r["keyframes"][:1] + r["keyframes"][-1:])
-            every = hashlib.sha256(",".join(f"{s['start']}-{s['end']}" for s in r["keyframes"]).encode()).hexdigest()[:16]
-            feature = f"codec={r['codec'].strip()};rate={r['timescale']};duration={r['duration']};samples={r['samples']};keyframes={len(r['keyframes'])};first,last={keys};ranges={every}"
+            media = r["media"] or b""
+            payload = b"".join(media[s["start"] : s["end"]] for s in r["payload"] or [])
+            frames = r["keyframes"] or []
+            keys = ",".join(f"{s['start']}-{s['end']}" for s in frames[:1] + frames[-1:])
+            every = hashlib.sha256(",".join(f"{s['start']}-{s['end']}" for s in frames).encode()).hexdigest()[:16]
+            feature = f"codec={(r['codec'] or '').strip()};rate={r['timescale']};duration={r['duration']};samples={r['samples']};keyframes={len(frames)};first,last={keys};ranges={every}"
             rows.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -271,5 +272,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digest(described: DataFrame) -> DataFrame:
-    """The contract's columns, from the bytes of :func:`text_media` as :func:`media_columns` located them."""
+    """The contract's columns, from the bytes of :func:`text_media` as :func:`media_columns` located them.
+
+    A null or damaged container has an empty payload and no codec.
+    """
     return described.mapInArrow(_digested, _DIGEST)

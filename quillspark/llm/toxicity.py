@@ -10,7 +10,7 @@ quotation marks or after words of report, more beside words of address. A logist
 weighed hits gives the score.
 
 Scale: fitting uses at most ``bound`` labelled rows; scoring is one pass over the documents without a
-shuffle. What is broadcast is the model: at most ``MAX_ENTRIES`` entries.
+shuffle. What is broadcast is the model: a lexicon of words of those rows, which bound it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .logistic import fit as fit_logistic
 from .logistic import sigmoid
 from .sampling import labelled_sample, remainder
 
-BOUND, MAX_ENTRIES, LEAST_EVIDENCE = 4000, 400, 9.0
+BOUND, LEAST_EVIDENCE = 4000, 9.0
 #: Words whose hits a task remembers.
 REMEMBERED = 150_000
 #: Runs of letters and digits, with the signs that stand for letters inside them.
@@ -43,13 +43,13 @@ REPORT = frozenset("said says wrote writes quoted quote called term word sagte s
 ADDRESS = frozenset("you your yourself du dich dir dein ihr tu toi vous ton votre usted te ti tus".split())
 QUOTES = {"“": "”", "«": "»", "„": "“"}
 WINDOW = 48
-#: A misspelling must not be a word of this many clean texts of the sample.
-CLEAN_TEXTS = 1
+#: A misspelling must not be a word of this many clean texts of the sample, and of no more toxic ones.
+CLEAN_TEXTS = 2
 
 
 def allowed_edits(length: int) -> int:
     """Edits that a term of this length may have."""
-    return 0 if length < 5 else 1 if length < 8 else 2
+    return 0 if length < 4 else 1 if length < 8 else 2
 
 
 class FuzzyTrie:
@@ -143,6 +143,8 @@ class Model:
 
     words: dict[str, float]
     stems: dict[str, float]
+    #: What misspellings are held against: the words, and the stems' words with the stems' weights.
+    fuzzy: dict[str, float]
     harmless: frozenset[str]
     weights: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
@@ -151,26 +153,31 @@ class Model:
         """The automaton and the words seen. A process keeps those of the last model only, though old models may linger in it."""
         if self.name not in _MEMORY:
             _MEMORY.clear()
-            _MEMORY[self.name] = FuzzyTrie(self.words), {}
+            _MEMORY[self.name] = FuzzyTrie(self.fuzzy), {}
         return _MEMORY[self.name]
 
     def _look_up(self, word: str) -> tuple[int, float] | None:
         if word in self.words:
             return 0, self.words[word]
-        for k in range(3, min(8, len(word) - 1) + 1):
-            if word[:k] in self.stems:
-                return 1, self.stems[word[:k]]
+        if stem := self._stem(word):
+            return 1, self.stems[stem]
         if word in self.harmless:
             return None
         plain = word.translate(DISGUISES) if not word.isalpha() and any(c.isalpha() for c in word) else word
-        if plain != word and plain in self.words:
-            return 2, self.words[plain]
-        if len(word) >= 4 and (hit := self._memory()[0].match(plain)):
-            return 2, self.words[hit[0]] / (1 + hit[1])
+        if plain != word:
+            if plain in self.words:
+                return 2, self.words[plain]
+            if stem := self._stem(plain):
+                return 1, self.stems[stem]
+        if len(word) >= 3 and (hit := self._memory()[0].match(plain)):
+            return 2 if hit[0] in self.words else 1, self.fuzzy[hit[0]] / (1 + hit[1])
         return None
 
+    def _stem(self, word: str) -> str | None:
+        return next((word[:k] for k in range(3, min(8, len(word) - 1) + 1) if word[:k] in self.stems), None)
+
     def hits(self, words: set[str]) -> dict[str, tuple[int, float]]:
-        """(0 term, 1 stem, 2 misspelling; weight) of those of the lower-case words that are hits."""
+        """(0 term, 1 stem or a misspelling of its words, 2 misspelling of a term; weight) of those of the lower-case words that are hits."""
         known = self._memory()[1]
         if len(known) > REMEMBERED:
             known.clear()
@@ -248,7 +255,7 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict
     explained: dict[tuple, set[int]] = defaultdict(set)
     rank = {e: _evidence(len(h), clean[e], base) for e, h in holders.items()}
     rank = {e: v for e, v in rank.items() if v >= LEAST_EVIDENCE}
-    while rank and len(words) + len(stems) < MAX_ENTRIES:
+    while rank:
         # whole words first where they explain as much
         best = max(rank, key=lambda e: (round(rank[e], 6), e[0] == "w", -e[2], e[1]))
         n1, n0 = len(holders[best]), clean[best]
@@ -268,16 +275,19 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict
 def fit(sample: list[tuple[str, int]]) -> Model:
     """A model of the labelled texts. Without toxic or without clean texts the score is the base rate."""
     rate = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
-    flat = Model({}, {}, frozenset(), np.array([0.0] * 9 + [math.log(rate / (1 - rate))]))
+    flat = Model({}, {}, {}, frozenset(), np.array([0.0] * 9 + [math.log(rate / (1 - rate))]))
     if not 0 < sum(y for _, y in sample) < len(sample):
         return flat
     words, stems = learn_lexicon(sample)
-    trie, common = FuzzyTrie(words), Counter()
+    toxic, clean = Counter(), Counter()
     for text, y in sample:
-        if not y:
-            common.update(set(WORD.findall(text.lower())))
-    harmless = frozenset(w for w, n in common.items() if n >= CLEAN_TEXTS and w not in words and trie.match(w))
-    model = Model(words, stems, harmless, flat.weights)
+        (toxic if y else clean).update(set(WORD.findall(text.lower())))
+    # a stem's words: those that toxic texts have more often than clean ones
+    family = {w: stems[w[:k]] for w, n in toxic.items() for k in range(3, min(8, len(w) - 1) + 1) if w[:k] in stems and n > clean[w]}
+    fuzzy = family | words
+    trie = FuzzyTrie(fuzzy)
+    harmless = frozenset(w for w, n in clean.items() if n >= CLEAN_TEXTS and n >= toxic[w] and w not in fuzzy and trie.match(w))
+    model = Model(words, stems, fuzzy, harmless, flat.weights)
     x = np.array([model.features(t) for t, _ in sample])
     # misspellings are too rare among the labels to be weighed on their own: they take the terms' weights
     terms = x.copy()

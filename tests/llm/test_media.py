@@ -73,3 +73,11 @@ def test_digest(spark):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert media_columns(spark.createDataFrame([(b"",), (None,), (b"junk",)], "media binary")).where("codec is null and size(keyframes) = 0").count() == 3
     assert media_digest(media_columns(text_media(docs.limit(0)))).count() == 0
+
+
+def test_digest_of_null_and_damaged_containers(spark):
+    rows = [(1, 0, None), (2, 3, b""), (3, 5, b"\x00\x00\x00\x08free"), (4, 1, b"\xff" * 40)]
+    described = media_columns(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary"))
+    got = {r.doc_id: r for r in media_digest(described).collect()}
+    assert len(got) == 4 and all(r.payload_bytes == 0 and r.feature.startswith("codec=;") for r in got.values())
+    assert [got[i].media_bytes for i in (1, 2, 3, 4)] == [0, 0, 8, 40]

@@ -1,5 +1,6 @@
 """Quality: gradients by differences, passages by brute force, and held-out accuracy."""
 
+import math
 import zlib
 
 import numpy as np
@@ -7,7 +8,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 from quillspark.llm.logistic import sigmoid
-from quillspark.llm.quality import N_FEATURES, PASSAGE, Model, fit, passages, quality
+from quillspark.llm.quality import N_FEATURES, PASSAGE, Model, _kinds, fit, passages, quality
+
+def F_hash(spark, i):
+    return spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0]
+
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,6 +64,53 @@ def test_held_out_accuracy(spark):
     assert sum(held) / len(held) >= 0.95
 
 
+def plain_features(passage):
+    """A passage's features by loops."""
+    kind = [int(_kinds()[ord(c)]) for c in passage]
+    share = [kind.count(k) / len(passage) for k in range(8)]
+    words, now = [], ""
+    for c, k in zip(passage + " ", [*kind, 4], strict=True):
+        if k in (4, 5):
+            words += [now] if now else []
+            now = ""
+        else:
+            now += c
+    w = max(1, len(words))
+    mean = sum(map(len, words)) / w
+    spread = max(0.0, sum(len(x) ** 2 for x in words) / w - mean**2) ** 0.5
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    marked = sum(any(_kinds()[ord(c)] == 7 for c in x) for x in words)
+    shouted = sum(sum(_kinds()[ord(c)] == 2 for c in x) > 1 for x in words)
+    return share + [math.log1p(len(words)), mean / 10, spread / 10, len(set(words)) / w, again / w, marked / w, shouted / w]
+
+
+def plain_score(model, text):
+    """The forward pass of one document, passage by passage."""
+    text, p = text or " ", model.p
+    weights, hidden = [], []
+    for k in range(0, len(text), PASSAGE):
+        x = [(f - m) / s for f, m, s in zip(plain_features(text[k : k + PASSAGE]), model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(x[i] * p["E"][i][j] for i in range(len(x))) + p["e"][j]) for j in range(len(p["e"]))]
+        t = [math.tanh(sum(h[i] * p["V"][i][j] for i in range(len(h)))) for j in range(len(h))]
+        g = [1 / (1 + math.exp(-sum(h[i] * p["U"][i][j] for i in range(len(h))))) for j in range(len(h))]
+        weights.append(math.exp(sum(a * b * c for a, b, c in zip(t, g, p["w"], strict=True))))
+        hidden.append(h)
+    z = [sum(a * h[j] for a, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["b"][0])))
+
+
+def test_the_query_matches_brute_force(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(90001, None), (90002, ""), (90003, "A A b-b\n\nÜÜ 12")]
+    texts, known = dict(rows), {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    sample = sorted((F_hash(spark, i), i) for i in known if i in texts and zlib.crc32(str(i).encode()) % 4 != 2)
+    model = fit([(texts[i] or "", known[i]) for _, i in sample])
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id long, text string"), labels.withColumn("text", F.lit("clash")).union(labels.withColumn("text", F.lit("again")))).collect()}
+    for i, t in rows:
+        want = plain_score(model, t)
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == (got[i].score >= 0.7), i
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None), (1, ""), (None, "x"), (2, "y " * 100000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
