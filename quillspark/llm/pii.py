@@ -197,7 +197,7 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, documents: int, general
     top = (classes.agg(F.max(most)).first() or [None])[0] or 0.0
     counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.col("df_term") <= top)
     mine = alike.select("did", "row_key", F.explode("terms").alias("term"))
-    rare = mine.join(counts, "term").join(bounds, ["did", "row_key"]).where(F.col("df_term") <= F.col("bound")).select("did", "row_key", "term", "df_term")
+    rare = written(mine.join(counts, "term").join(bounds, ["did", "row_key"]).where(F.col("df_term") <= F.col("bound")).select("did", "row_key", "term", "df_term"), "pii-rare")
     pairs = rare.join(classes, ["did", "row_key"]).where(F.col("df_term") <= most)
     # classes of one document: c is 1; the others are counted over their documents
     single = pairs.where("df_entity = 1").withColumn("c", F.lit(1).cast("long"))
