@@ -12,10 +12,15 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+#: Camel-case borders: before a capital after a small letter or digit, and before the last capital of a run.
+_BORDER = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+
 def tokenize(col: Column) -> Column:
     """Lower-case identifier tokens of two characters or more: split at non-alphanumerics and at camel-case borders."""
-    spaced = F.regexp_replace(F.regexp_replace(text_or_empty(col), "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.transform(F.filter(F.split(spaced, "[^a-zA-Z0-9]+"), lambda t: F.length(t) >= 2), F.lower)
+    spaced = F.regexp_replace(text_or_empty(col), _BORDER, " ")
+    low = F.translate(spaced, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def query_tokens(query: str) -> list[str]:

@@ -72,10 +72,13 @@ def unused_imports(files: DataFrame) -> DataFrame:
 
 
 def workspace_of(files: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """``files`` with the workspace of the longest root that holds the path, or null. Roots are few: they are sent to every task after a count."""
-    if workspaces.count() > 100_000:
-        raise ValueError("too many workspaces to send to every task")
-    w = F.broadcast(workspaces.select(F.col("name").alias("workspace"), F.col("root")))
-    joined = files.join(w, (F.col("root") == "") | F.col("path").startswith(F.concat("root", F.lit("/"))), "left")
-    keep = [c for c in files.columns if c != "path"]
-    return joined.groupBy("path").agg(F.max_by("workspace", F.length("root")).alias("workspace"), *[F.first(c).alias(c) for c in keep])
+    """``files`` with the workspace ``(name, root)`` of the longest root that holds the path, or null.
+
+    A path asks for each of its folders, the longest match wins: an equi join, however many roots there are.
+    """
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    w = workspaces.select(F.col("name").alias("workspace"), F.col("root").alias("_root"))
+    asked = files.select("path", F.explode(folders).alias("_root")).join(w, "_root")
+    owner = asked.groupBy("path").agg(F.max_by("workspace", F.length("_root")).alias("workspace"))
+    return files.join(owner, "path", "left")

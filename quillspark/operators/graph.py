@@ -1,13 +1,12 @@
 """Graph analytics over edge tables ``(src, dst)``.
 
 Degrees, roles and scores are aggregates and equi joins. Reachability, components and PageRank iterate
-joins on node keys; each round's frontier is deduplicated before the next. Louvain's sequential local moves
-run in one task on one graph, as their definition demands; ``label_propagation`` is the distributed variant.
+joins on node keys; each round's frontier is deduplicated before the next. Louvain's local moves are made half of
+the nodes at a time, as joins; none of the graphs needs to fit a task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,38 +123,28 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def _louvain(pdf: pd.DataFrame, resolution: float, passes: int) -> pd.DataFrame:
-    near: dict = {}
-    for a, b, w in pdf[["src", "dst", "weight"]].itertuples(index=False):
-        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
-        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
-    nodes = sorted(near)
-    degree = {v: sum(near[v].values()) for v in nodes}
-    total = sum(degree.values())
-    home, weight = {v: v for v in nodes}, dict(degree)
-    for _ in range(passes):
-        moved = False
-        for v in nodes:
-            links: dict = {}
-            for u, w in near[v].items():
-                links[home[u]] = links.get(home[u], 0) + w
-            own, k = home[v], degree[v]
-            weight[own] -= k
-            gain = {c: w - resolution * k * weight[c] / total for c, w in links.items()}
-            best, most = own, gain.get(own, -resolution * k * weight[own] / total)
-            for c in sorted(gain):
-                if gain[c] > most + 1e-12:
-                    best, most = c, gain[c]
-            weight[best] += k
-            home[v], moved = best, moved or best != own
-        if not moved:
-            break
-    return pd.DataFrame({"node": nodes, "community": [home[v] for v in nodes]})
-
-
-def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_edges: int = 2_000_000) -> DataFrame:
-    """``(node, community)`` by local moves in node order. Sequential by definition, so the graph's size is checked."""
-    e = distinct_edges(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).withColumn("weight", F.lit(1.0))
-    if e.count() > most_edges:
-        raise ValueError("too many edges for one task; use label_propagation")
-    return e.groupBy(F.lit(0).alias("graph")).applyInPandas(lambda pdf: _louvain(pdf, resolution, passes), "node long, community long")
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+    """``(node, community)`` by local moves that raise modularity, half of the nodes at a time.
+
+    In each round the nodes of one parity of their hash move, each to the neighbouring community with the largest gain
+    ``w(v, c) - resolution * k(v) * weight(c) / 2m`` (its own weight left out), ties to the least community, and only if
+    that is more than staying. Two linked nodes of one parity may move at once; so a fixed number of rounds is
+    made. A round is joins and aggregates over the edges, so the graph needs to fit no task.
+    """
+    e = distinct_edges(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    degree = written(both.groupBy("src").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("src", "node"))
+    total = degree.agg(F.sum("k").alias("m2")).first()["m2"] or 1
+    home = degree.select("node", "k", F.col("node").alias("community"))
+    for r in range(rounds):
+        weight = home.groupBy("community").agg(F.sum("k").alias("weight"))
+        links = both.join(home.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("w"))
+        turn = home.where(F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2).select(F.col("node").alias("src"), "k", F.col("community").alias("own"))
+        # staying is an option even without a link to the own community
+        options = links.join(turn, "src").unionByName(turn.select("src", F.col("own").alias("community"), F.lit(0).cast("long").alias("w"), "k", "own"))
+        options = options.groupBy("src", "community", "k", "own").agg(F.sum("w").alias("w")).join(weight, "community")
+        others = F.col("weight") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
+        gain = F.round(F.col("w") - resolution * F.col("k") * others / total, 9)
+        best = options.groupBy("src").agg(F.max_by("community", F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), (-F.col("community")).alias("least"))).alias("to"))
+        home = written(home.join(best, home["node"] == best["src"], "left").select("node", "k", F.coalesce("to", "community").alias("community")))
+    return home.select("node", "community")

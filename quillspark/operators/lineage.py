@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Where the setting is absent (single-machine sessions) a folder of our own takes its place.
+    Where the setting is absent and one machine runs everything, a folder of our own takes its place.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/quillspark/table-{uuid.uuid4().hex}"

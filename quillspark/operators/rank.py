@@ -46,14 +46,21 @@ def bm25(df: DataFrame, key: str, fields: dict[str, tuple[Column, float]], query
     if not distinct:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     names = list(fields)
-    tokens = df.select(F.col(key), (boost if boost is not None else F.lit(1.0)).alias("boost"), *[tokenize(c).alias(f"t{i}") for i, (c, _) in enumerate(fields.values())])
+
     def equal(term: str):
         return lambda t: t == term
 
-    counted = tokens.select(
+    def counts(tokens: Column) -> Column:
+        tf = [F.size(F.filter(tokens, equal(q))).alias(f"tf{j}") for j, q in enumerate(distinct)]
+        return F.struct(F.size(tokens).alias("n"), *tf)
+
+    # a lambda binds the tokens and the generator keeps filters above it: each text is tokenized once in a scan
+    per_field = [F.get(F.transform(F.array(tokenize(c)), counts), F.lit(0)).alias(f"f{i}") for i, (c, _) in enumerate(fields.values())]
+    once = df.select(F.col(key), (boost if boost is not None else F.lit(1.0)).alias("boost"), F.explode(F.array(F.struct(*per_field))).alias("s"))
+    counted = once.select(
         F.col(key), "boost",
-        *[F.size(f"t{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.size(F.filter(f"t{i}", equal(q))).alias(f"tf{i}_{j}") for i in range(len(names)) for j, q in enumerate(distinct)],
+        *[F.col(f"s.f{i}.n").alias(f"n{i}") for i in range(len(names))],
+        *[F.col(f"s.f{i}.tf{j}").alias(f"tf{i}_{j}") for i in range(len(names)) for j in range(len(distinct))],
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"),
@@ -100,17 +107,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
-def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """``(query, key, score, rank)``: the k nearest rows of each query ``(query, qvec)``.
 
-    The stated queries are few and their size is checked; every row is compared with each of them.
+    Every row is compared with each stated query, in blocks of at most ``block`` queries that are sent to every task;
+    each block reads the table once.
     """
-    rows = queries.count()
-    if rows > 10_000:
-        raise ValueError("too many queries to send to every task; ask in blocks")
-    scored = df.crossJoin(F.broadcast(queries)).select("query", F.col(key), cosine(F.col(vector), F.col("qvec")).alias("score"))
+    rows, found = queries.count(), None
+    blocks = max(1, -(-rows // block))
     window = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        scored = df.crossJoin(F.broadcast(part)).select("query", F.col(key), cosine(F.col(vector), F.col("qvec")).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, constant: int = 60) -> DataFrame:

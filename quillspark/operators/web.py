@@ -30,11 +30,17 @@ def template_matches(template: Column, path: Column) -> Column:
 
 
 def contracts(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
-    """``calls (method, segments, ...)`` with the endpoints ``(method, template, endpoint)`` they match. Endpoints are few: their count is checked."""
-    if endpoints.count() > 50_000:
-        raise ValueError("too many endpoints to send to every task; join by first segment")
-    e = endpoints.select(F.col("method").alias("m"), "template", "endpoint")
-    return calls.join(F.broadcast(e), (F.col("method") == F.col("m")) & template_matches(F.col("template"), F.col("segments"))).drop("m", "template")
+    """``calls (method, segments, ...)`` with the endpoints ``(method, template, endpoint)`` they match.
+
+    Both meet on the method and the first segment; a template that begins with a parameter or ``*`` meets on the method
+    and any first segment, and every call asks for both. So no side is sent to every task, however many there are.
+    """
+    first = lambda c: F.coalesce(F.get(F.col(c), F.lit(0)), F.lit(""))
+    open_ = first("template").rlike(r"^\{.*\}$") | (first("template") == "*")
+    e = endpoints.select(F.col("method").alias("m"), "template", "endpoint", F.when(open_, F.lit(None).cast("string")).otherwise(first("template")).alias("_first"))
+    asked = calls.withColumn("_ask", F.explode(F.array(first("segments"), F.lit(None).cast("string"))))
+    met = asked.join(e, (F.col("method") == F.col("m")) & F.col("_ask").eqNullSafe(F.col("_first")))
+    return met.where(template_matches(F.col("template"), F.col("segments"))).drop("m", "template", "_first", "_ask")
 
 
 def hrefs(html: Column) -> Column:

@@ -16,23 +16,23 @@ def _uses(spark, sf):
 
 
 def _calls(spark, sf):
-    """Part -> part edges: a small modular graph, with more structure on orders that hold both."""
+    """Part -> part edges: each line of an order calls the next one's part."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey"))
     a, b = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src")), li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "n"]).select((F.col("src") % 200).alias("src"), (F.col("dst") % 200).alias("dst")).where("(src * 7 + dst) % 5 = 0 and src <> dst").distinct()
+    return a.join(b, ["l_orderkey", "n"]).select("src", "dst").where("src <> dst").distinct()
 
 
 def _baskets(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("item"))
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"))
 
 
 def cochange_pairs(spark, sf):
-    found = B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=3, jaccard=0.02)
+    found = B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=2, jaccard=0.02)
     return R.top(found.withColumn("jaccard", R.rounded(F.col("jaccard"))), 30, "jaccard", "a", "b")
 
 
 def cochange_clusters(spark, sf):
-    return B.clusters(B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=3, jaccard=0.032)).withColumnRenamed("cluster", "cluster_id")
+    return B.clusters(B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=2, jaccard=0.032)).withColumnRenamed("cluster", "cluster_id")
 
 
 def hotspots(spark, sf):
@@ -68,8 +68,7 @@ def bfs_reach(spark, sf):
 
 
 def circular_deps(spark, sf):
-    edges = _calls(spark, sf).where("src < 60 and dst < 60")
-    return G.cycles(edges, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
+    return G.cycles(_calls(spark, sf), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
 def pagerank_fixed_iter(spark, sf):
@@ -103,7 +102,7 @@ def surprise_scores(spark, sf):
     total = e.agg(F.count(F.lit(1)).alias("m")).crossJoin(member.agg(F.count(F.lit(1)).alias("v"))).select((F.col("m") / (F.col("v") * F.col("v"))).alias("density"))
     cross = e.select((F.col("src") % 5).alias("x"), (F.col("dst") % 5).alias("y")).where("x <> y").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
     links = cross.groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("links"))
-    pairs = B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=3, jaccard=0.0)
+    pairs = B.pairs(_baskets(spark, sf), "l_orderkey", "item", support=2, jaccard=0.0)
     strong = pairs.select((F.col("a") % 5).alias("x"), (F.col("b") % 5).alias("y"), "jaccard").where("x <> y").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"), "jaccard").groupBy("ca", "cb").agg(F.max("jaccard").alias("j"))
     sized = links.join(size.select(F.col("community").alias("ca"), F.col("n").alias("na")), "ca").join(size.select(F.col("community").alias("cb"), F.col("n").alias("nb")), "cb")
     scored = sized.join(strong, ["ca", "cb"], "left").crossJoin(F.broadcast(total))
@@ -168,12 +167,11 @@ QUERIES = {f.__name__: f for f in [
     boundary_violations, dir_rollup, kind_histogram,
 ]}
 
-_CALLS = """calls AS (SELECT DISTINCT a.l_partkey % 200 AS src, b.l_partkey % 200 AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE ((a.l_partkey % 200) * 7 + b.l_partkey % 200) % 5 = 0 AND a.l_partkey % 200 <> b.l_partkey % 200)"""
+_CALLS = """calls AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 _DEG = "deg AS (SELECT node, sum(i)::bigint AS fan_in, sum(o)::bigint AS fan_out FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM calls UNION ALL SELECT src, 0, 1 FROM calls) GROUP BY node)"
 _HUB = "cut AS (SELECT list_sort(list(fan_in))[floor(count(*) * 0.75)::int + 1] AS ci, list_sort(list(fan_out))[floor(count(*) * 0.75)::int + 1] AS co FROM deg), hub AS (SELECT node, fan_in, fan_out FROM deg, cut WHERE fan_in > ci AND fan_out > co)"
-_BASKET = """b AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 100 AS i FROM lineitem), ok AS (SELECT o FROM b GROUP BY o HAVING count(*) BETWEEN 2 AND 50), sup AS (SELECT i, count(*) AS s FROM b GROUP BY i),
-    pr AS (SELECT x.i AS a, y.i AS b, count(*) AS together FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN ok ON ok.o = x.o GROUP BY ALL HAVING count(*) >= 3),
+_BASKET = """b AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i FROM lineitem), ok AS (SELECT o FROM b GROUP BY o HAVING count(*) BETWEEN 2 AND 50), sup AS (SELECT i, count(*) AS s FROM b GROUP BY i),
+    pr AS (SELECT x.i AS a, y.i AS b, count(*) AS together FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN ok ON ok.o = x.o GROUP BY ALL HAVING count(*) >= 2),
     jac AS (SELECT pr.a, pr.b, together, together / (sa.s + sb.s - together) AS jaccard FROM pr JOIN sup sa ON sa.i = pr.a JOIN sup sb ON sb.i = pr.b)"""
 _MEMBER = "nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls), member AS (SELECT node, node % 5 AS community FROM nodes)"
 
@@ -194,7 +192,7 @@ SQL = {
     "coupling_score": f"WITH {_CALLS}, {_DEG}, {_HUB}, f AS (SELECT count(*) AS files FROM deg), h AS (SELECT count(*) AS hubs FROM hub) SELECT files, hubs, greatest(0, least(100, floor(100 - 100 * hubs / files + 0.5)))::bigint AS score FROM f, h",
     "symbol_roles": f"WITH {_CALLS}, {_DEG} SELECT *, CASE WHEN fan_in = 0 THEN 'dead' WHEN fan_out = 0 THEN 'leaf' WHEN fan_in / fan_out >= 3 AND fan_in >= 3 THEN 'utility' WHEN fan_in / fan_out <= 0.33 AND fan_out >= 3 THEN 'entry' WHEN fan_in >= 2 AND fan_out >= 2 THEN 'core' ELSE 'leaf' END AS role FROM deg",
     "bfs_reach": f"WITH RECURSIVE {_CALLS}, r AS (SELECT unnest([1, 2])::bigint AS node, 0::bigint AS depth UNION SELECT dst, depth + 1 FROM r JOIN calls ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node",
-    "circular_deps": f"WITH {_CALLS}, e AS (SELECT * FROM calls WHERE src < 60 AND dst < 60) SELECT a.src || '>' || a.dst AS cycle FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
+    "circular_deps": f"WITH {_CALLS}, e AS (SELECT * FROM calls) SELECT a.src || '>' || a.dst AS cycle FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
     "pagerank_fixed_iter": _rank_sql(5),
     "modularity_by_label": f"WITH {_CALLS}, e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM calls), k AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), m AS (SELECT 2.0::double * count(*) AS m2 FROM e) SELECT round(sum(2 * (1 - a.k * b.k / m2) / m2), 8) AS modularity FROM e JOIN k a ON a.node = src JOIN k b ON b.node = dst, m WHERE src % 5 = dst % 5",
     "community_cohesion": f"WITH {_CALLS}, x AS (SELECT src % 5 AS community, src % 5 = dst % 5 AS i FROM calls UNION ALL SELECT dst % 5, false FROM calls WHERE src % 5 <> dst % 5) SELECT community, count(*) FILTER (i) AS internal, count(*) FILTER (NOT i) AS external, round(count(*) FILTER (i) / count(*), 8) AS cohesion FROM x GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import rank as R
 from .base import sql_bm25, sql_lines, sql_tokens, table
@@ -72,19 +73,26 @@ def search_text_regex_grouped(spark, sf):
 
 
 def search_text_context(spark, sf):
-    """Context is taken from the split text, so that no window over all lines is needed."""
-    doc = table(spark, sf, "documents").withColumn("all", T.lines(F.col("text")))
-    hit = doc.select("doc_id", "all", F.posexplode("all").alias("pos", "line")).where(F.contains("line", F.lit("token = ")))
-    before = F.slice("all", F.greatest(F.col("pos") - 1, F.lit(1)), F.least(F.col("pos"), F.lit(2)))
-    after = F.slice("all", F.col("pos") + 2, 2)
-    return hit.select("doc_id", (F.col("pos") + 1).alias("line_no"), "line", F.array_join(before, "\n").alias("before"), F.array_join(after, "\n").alias("after"))
+    """Context is cut from the split text at the hits only, so that no window over all lines is needed."""
+    doc = table(spark, sf, "documents").where(F.contains("text", F.lit("token = "))).withColumn("all", T.lines(F.col("text")))
+
+    def around(line, pos):
+        before = F.slice("all", F.greatest(pos - 1, F.lit(1)), F.least(pos, F.lit(2)))
+        context = F.struct((pos + 1).alias("line_no"), line.alias("line"), F.array_join(before, "\n").alias("before"), F.array_join(F.slice("all", pos + 2, 2), "\n").alias("after"))
+        return F.when(F.contains(line, F.lit("token = ")), context)
+
+    return doc.select("doc_id", F.explode(F.filter(F.transform("all", around), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*")
 
 
 def find_references_batch(spark, sf):
-    names = F.array(*[F.lit(n) for n in NAMES])
-    lines = _lines(spark, sf)
-    boundary = lambda n: F.regexp_like("line", F.concat(F.lit("(^|[^A-Za-z0-9_])"), n, F.lit("([^A-Za-z0-9_]|$)")))
-    hits = lines.select("doc_id", "line_no", F.explode(F.filter(names, boundary)).alias("name"))
+    """Names are literals of the plan: each pattern is compiled once in a task, and only texts and lines that hold the name are matched."""
+    doc = table(spark, sf, "documents")
+    some = F.lit(False)
+    for n in NAMES:
+        some = some | F.contains("text", F.lit(n))
+    lines = doc.where(some).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    named = F.array(*[F.when(F.contains("line", F.lit(n)) & P.word_in(F.col("line"), n), F.lit(n)) for n in NAMES])
+    hits = lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.explode(F.array_compact(named)).alias("name"))
     order = Window.partitionBy("name").orderBy("doc_id", "line_no")
     return hits.withColumn("n", F.row_number().over(order)).where("n <= 20").select("name", "n", "doc_id", "line_no")
 
@@ -152,14 +160,16 @@ def memory_categories(spark, sf):
 
 def chunk_fixed(spark, sf):
     doc = table(spark, sf, "documents")
-    chunks = doc.select("doc_id", "text", F.explode(T.chunk_starts(F.col("text"))).alias("start"))
-    piece = F.substring("text", F.col("start") + 1, 1600)
-    before = F.substring("text", 1, F.col("start"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    return chunks.select(
-        "doc_id", F.col("start").cast("long").alias("start"), (newlines(before) + 1).cast("long").alias("start_line"),
-        (newlines(before) + 1 + newlines(piece)).cast("long").alias("end_line"), T.token_estimate(piece).alias("tokens"),
-    )
+
+    def place(acc, start):
+        """Lines are counted from chunk to chunk, not from the text's start each time."""
+        piece = F.substring("text", start + 1, 1600)
+        row = F.struct(start.cast("long").alias("start"), acc["line"].alias("start_line"), (acc["line"] + newlines(piece)).alias("end_line"), T.token_estimate(piece).alias("tokens"))
+        return F.struct((acc["line"] + newlines(F.substring("text", start + 1, 1280))).cast("long").alias("line"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    zero = F.struct(F.lit(1).cast("long").alias("line"), F.array().cast("array<struct<start:bigint,start_line:bigint,end_line:bigint,tokens:bigint>>").alias("out"))
+    return doc.select("doc_id", F.explode(F.aggregate(T.chunk_starts(F.col("text")), zero, place, lambda acc: acc["out"])).alias("c")).select("doc_id", "c.*")
 
 
 def _hit_ranges(spark, sf):
