@@ -114,22 +114,22 @@ def dialect(sql: Column) -> Column:
     return out
 
 
-#: First words of SQL types by family.
+#: First words (letters) of SQL types by family.
 SQL_TYPES = {
-    "int": ["int", "integer", "bigint", "smallint", "tinyint", "mediumint", "serial", "bigserial", "smallserial", "int2", "int4", "int8"],
-    "float": ["float", "double", "real", "decimal", "numeric", "money", "float4", "float8"],
-    "string": ["varchar", "char", "text", "character", "nvarchar", "nchar", "longtext", "mediumtext", "tinytext", "string", "citext"],
+    "int": ["int", "integer", "smallint", "bigint", "serial", "bigserial", "smallserial", "tinyint", "mediumint"],
+    "float": ["float", "real", "double", "decimal", "numeric", "money"],
+    "string": ["text", "varchar", "char", "string", "nvarchar", "longtext", "mediumtext", "tinytext"],
     "bool": ["bool", "boolean", "bit"],
     "datetime": ["timestamp", "timestamptz", "datetime", "date", "time", "timetz"],
     "json": ["json", "jsonb"],
     "uuid": ["uuid"],
-    "bytes": ["bytea", "blob", "binary", "varbinary", "longblob"],
+    "bytes": ["bytea", "blob", "binary", "longblob", "mediumblob", "tinyblob"],
 }
 
 
 def sql_type(declared: Column) -> Column:
-    """The family of a declared type, by its first word; the word itself if it has none, ``unknown`` if empty."""
-    word = F.regexp_extract(F.lower(F.trim(text_or_empty(declared))), "^([a-z0-9_]+)", 1)
+    """The family of a declared type, by its first run of letters; that word itself if it has none, ``unknown`` without letters."""
+    word = F.lower(F.regexp_extract(text_or_empty(declared), "[a-zA-Z]+", 0))
     out = F.when(word == "", "unknown").otherwise(word)
     for family, words in SQL_TYPES.items():
         out = F.when(word.isin(words), family).otherwise(out)

@@ -13,9 +13,9 @@ from ..operators import sqltext as S
 from ..operators import web as W
 from .base import sql_lines, table
 
-#: Rules whose patterns both engines read alike.
-SCANNED = [r for r in U.CATALOGUE if r.name in {"scaffolding", "eval-exec", "inline-script", "inline-style", "global-keyword", "dangerously-set-html"}]
-SECRET_RULES = [r for r in U.SECRETS if r.name in {"token-assignment", "aws-access-key", "hex-secret"}]
+#: Rules of a line or a file, which SQL can express; the others follow loops or the squeezed text.
+SCANNED = [r for r in U.CATALOGUE if r.scope in ("line", "file")]
+STRUCTURAL = [r for r in U.CATALOGUE if r.scope in ("loop", "squeezed")]
 
 
 def clones_exact(spark, sf):
@@ -31,18 +31,33 @@ def shape_clusters(spark, sf):
     return C.shape_clusters(table(spark, sf, "part"), "p_partkey", "p_name").select("members", "first")
 
 
-def pattern_scan(spark, sf):
+def _texts(spark, sf):
     doc = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text")
-    page = table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.col("html").alias("text"))
-    return U.scan(doc.unionByName(page), "key", "text", SCANNED)
+    return doc.unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.col("html").alias("text")))
+
+
+def pattern_scan(spark, sf):
+    """All rules of lines and files over all texts."""
+    return U.scan(_texts(spark, sf), "key", "text", SCANNED).select("key", "rule", "severity", "family", "line_no")
 
 
 def pattern_counts(spark, sf):
     return pattern_scan(spark, sf).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def structural_scan(spark, sf):
+    """The rules that follow loops or look at the squeezed text."""
+    return U.scan(_texts(spark, sf), "key", "text", STRUCTURAL).select("key", "rule", "severity", "family", "line_no")
+
+
+def pattern_audit(spark, sf):
+    """Scores of all families over all texts."""
+    texts = _texts(spark, sf)
+    return U.audit(U.scan(texts, "key", "text", SCANNED), texts, "key")
+
+
 def secret_scan(spark, sf):
-    return U.scan(table(spark, sf, "documents"), "doc_id", "text", SECRET_RULES).select("doc_id", "rule", "severity")
+    return U.scan(table(spark, sf, "documents"), "doc_id", "text", U.SECRETS).select("doc_id", "rule", "severity", "line_no")
 
 
 def pii_redaction(spark, sf):
@@ -159,7 +174,7 @@ def complexity_branches(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.branch_complexity(F.col("html")).cast("long").alias("complexity"))
 
 
-def nesting_depth(spark, sf):
+def tag_depth(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.tag_depth(F.col("html")).cast("long").alias("depth"))
 
 
@@ -198,7 +213,7 @@ def test_confidence(spark, sf):
 
 
 def god_models(spark, sf):
-    """Suppliers as classes: over 150 methods, over 120 relations, or over 9000 lines."""
+    """Suppliers as classes: over 600 methods, over 500 relations, or over 15500 lines."""
     li = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("methods"), F.count_distinct("l_partkey").alias("relations"), F.sum("l_quantity").cast("long").alias("lines"))
     reasons = F.array_join(F.filter(F.array(F.when(F.col("methods") > 600, F.lit("methods")), F.when(F.col("relations") > 500, F.lit("relations")), F.when(F.col("lines") > 15500, F.lit("lines"))), lambda x: x.isNotNull()), ",")
     return li.withColumn("reasons", reasons).where("reasons <> ''")
@@ -214,9 +229,9 @@ def file_tree(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    clones_exact, clones_near, shape_clusters, pattern_scan, pattern_counts, secret_scan, pii_redaction, dml_safety_lines, migration_diff, table_references,
+    clones_exact, clones_near, shape_clusters, pattern_scan, pattern_counts, structural_scan, pattern_audit, secret_scan, pii_redaction, dml_safety_lines, migration_diff, table_references,
     orphan_tables, schema_type_normalize, schema_drift, sql_lint, schema_complexity, fk_index_coverage, contract_match, link_integrity, metadata_audit,
-    route_modules, dead_routes, complexity_branches, nesting_depth, incremental_upsert, dependency_freshness, agent_config_audit, test_confidence, god_models, file_tree,
+    route_modules, dead_routes, complexity_branches, tag_depth, incremental_upsert, dependency_freshness, agent_config_audit, test_confidence, god_models, file_tree,
 ]}
 
 _NORM = f"list_filter(list_transform({sql_lines('text')}, lambda x: trim(regexp_replace(regexp_replace(x, '//.*$', ''), '[ \\t\\n\\f\\r\\x0b]+', ' ', 'g'))), lambda x: x NOT IN ('', '{{', '}}', ');'))"
@@ -233,12 +248,30 @@ def _quoted(p: str) -> str:
 
 
 def _scan_sql(source: str, key: str, rules) -> str:
+    """Each rule over the lines of ``source``, an independent statement of what the engine finds."""
+    head = rf"""WITH src AS ({source}), ln AS MATERIALIZED (SELECT {key}, line_no, line, regexp_replace(regexp_replace(line, '(^|[^:])//.*$', '\1'), '^\s*(#|\*).*$', '') AS bare
+        FROM (SELECT {key}, unnest(l) AS line, unnest(generate_series(1, len(l)))::int AS line_no FROM (SELECT {key}, string_split(text, chr(10)) AS l FROM src)))"""
     parts = []
     for r in rules:
-        unless = f" AND NOT regexp_matches(text, '{_quoted(r.unless)}')" if r.unless else ""
-        pattern = r.pattern.replace(r"(?i)<script>(?!\s*</script>)", r"(?i)<script>")
-        parts.append(f"SELECT {key}, '{r.name}' AS rule, '{r.severity}' AS severity, '{r.family}' AS family FROM ({source}) WHERE regexp_matches(text, '{_quoted(pattern)}'){unless}")
-    return " UNION ALL ".join(parts)
+        on = "bare" if r.code else "line"
+        columns = f"{key}, '{r.name}' AS rule, '{r.severity}' AS severity, '{r.family}' AS family"
+        match = f"regexp_matches({on}, '{_quoted(r.pattern)}')"
+        if r.scope == "file":
+            excused = f" AND {key} NOT IN (SELECT {key} FROM ln WHERE regexp_matches(bare, '{_quoted(r.unless)}'))" if r.unless else ""
+            parts.append(f"SELECT {columns}, min(line_no) AS line_no FROM ln WHERE {match}{excused} GROUP BY {key}")
+        else:
+            unless = f" AND NOT regexp_matches({on}, '{_quoted(r.unless)}')" if r.unless else ""
+            parts.append(f"SELECT {columns}, line_no FROM ln WHERE {match}{unless}")
+    return head + " " + " UNION ALL ".join(parts)
+
+
+def _audit_sql() -> str:
+    cost = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in U._SEVERITY_COST.items()) + " END"
+    score = "greatest(0, 100 - floor(cost * 100 / greatest(total, 100) + 0.5))::bigint"
+    return f"""WITH f AS ({_scan_sql(_KEYED, 'key', SCANNED)}), p AS (SELECT family, count(*) AS findings, count(DISTINCT key) AS files, sum({cost}) AS cost FROM (SELECT DISTINCT key, family, rule, severity, line_no FROM f) GROUP BY family),
+        t AS (SELECT count(*) AS total FROM ({_KEYED})), s AS (SELECT family, findings, files, {score} AS score FROM p, t)
+        SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM s"""
+
 
 
 _OPS = " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{op}'" for op, p, _, _ in S.MIGRATIONS)
@@ -255,14 +288,15 @@ SQL = {
     "shape_clusters": "SELECT count(*) AS members, min(p_partkey) AS first FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name, '[A-Za-zÀ-ɏ]+', '_', 'g'), '[0-9]+', 'N', 'g'), '[ \\t\\n]+', ' ', 'g')) AS s FROM part) GROUP BY s HAVING count(*) > 1",
     "pattern_scan": _scan_sql(_KEYED, "key", SCANNED),
     "pattern_counts": f"SELECT rule, severity, count(*) AS findings FROM ({_scan_sql(_KEYED, 'key', SCANNED)}) GROUP BY 1, 2",
-    "secret_scan": f"SELECT doc_id, rule, severity FROM ({_scan_sql('SELECT doc_id, text FROM documents', 'doc_id', SECRET_RULES)})",
+    "pattern_audit": _audit_sql(),
+    "secret_scan": f"SELECT doc_id, rule, severity, line_no FROM ({_scan_sql('SELECT doc_id, text FROM documents', 'doc_id', U.SECRETS)})",
     "pii_redaction": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '(token|secret|key) = "[A-Za-z0-9]+"', '\1 = "[KEY]"', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM m""",
     "dml_safety_lines": f"""WITH {_STATEMENTS}, r AS (SELECT line_no, CASE WHEN line ILIKE '%delete from%' AND NOT line ILIKE '% where %' THEN 'delete-without-where' WHEN regexp_matches(line, '(?i)update \\S+ set') AND NOT line ILIKE '% where %' THEN 'update-without-where' WHEN line ILIKE '%select *%' THEN 'select-star' END AS rule FROM st) SELECT * FROM r WHERE rule IS NOT NULL""",
     "migration_diff": f"""WITH {_STATEMENTS}, o AS (SELECT line_no, CASE {_OPS} END AS operation FROM st WHERE line NOT LIKE '--%'), i(operation, category, severity) AS (VALUES {', '.join(f"('{a}', '{c}', '{s}')" for a, _, c, s in S.MIGRATIONS)})
         SELECT operation, category, severity, count(*) AS n, min(line_no) AS first_line FROM o JOIN i USING (operation) GROUP BY ALL""",
     "table_references": f"""WITH {_STATEMENTS}, t(table_name) AS (VALUES ('orders'), ('customer'), ('lineitem')) SELECT table_name, CASE WHEN regexp_matches(line, '(?i)(alter|drop|create) table') THEN 'ddl' ELSE 'dml' END AS reference, count(*) AS n FROM st, t WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || table_name || '([^A-Za-z0-9_]|$)') GROUP BY 1, 2""",
     "orphan_tables": f"WITH {_STATEMENTS}, t(table_name) AS (VALUES ('orders'), ('customer'), ('lineitem'), ('audit_log')) SELECT table_name FROM t WHERE NOT EXISTS (SELECT 1 FROM st WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || table_name || '([^A-Za-z0-9_]|$)'))",
-    "schema_type_normalize": f"WITH d AS (SELECT ({_TYPES!r})[(p_partkey % {len(_TYPES)})::int + 1] AS declared FROM part), w AS (SELECT declared, regexp_extract(lower(trim(declared)), '^([a-z0-9_]+)', 1) AS w FROM d) SELECT declared, CASE WHEN w = '' THEN 'unknown' {_FAMILY} ELSE w END AS family, count(*) AS n FROM w GROUP BY 1, 2",
+    "schema_type_normalize": f"WITH d AS (SELECT ({_TYPES!r})[(p_partkey % {len(_TYPES)})::int + 1] AS declared FROM part), w AS (SELECT declared, lower(regexp_extract(declared, '[a-zA-Z]+')) AS w FROM d) SELECT declared, CASE WHEN w = '' THEN 'unknown' {_FAMILY} ELSE w END AS family, count(*) AS n FROM w GROUP BY 1, 2",
     "schema_drift": f"WITH a AS ({_COLS.format(o=0)}), b AS ({_COLS.format(o=1)}) SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN b.type IS NULL THEN 'extra_in_orm' WHEN a.type IS NULL THEN 'extra_in_sql' ELSE 'type_mismatch' END AS drift FROM a FULL JOIN b ON a.table_name = b.table_name AND a.column_name = b.column_name WHERE a.type IS DISTINCT FROM b.type",
     "sql_lint": "WITH t AS (SELECT 't' || (p_partkey % 83) AS table_name, count(*) AS n, max((p_partkey % 3 = p_partkey % 83 % 4)::int) AS pk FROM part GROUP BY 1) SELECT table_name, 'no-primary-key' AS rule FROM t WHERE pk = 0 UNION ALL SELECT table_name, 'wide-table' FROM t WHERE n > 20",
     "schema_complexity": "SELECT 't' || (p_partkey % 50) AS table_name, count(*) + 3 * count(*) FILTER (p_size > 40) + 1.5::double * count(*) FILTER (p_size < 5) AS score FROM part GROUP BY 1",

@@ -43,7 +43,12 @@ def tool_day_percentiles(spark, sf):
 
 
 def repeated_calls_60s(spark, sf):
-    """Within an hour here, for the sessions of this table call seldom."""
+    """A call with the tool and arguments of the session's previous one, within a minute."""
+    return U.repeated_calls(_events(spark, sf), "session", ["ms", "event_id"], ["tool", "args"], "ms", 60_000).select("session", "event_id", "tool", "gap_ms")
+
+
+def repeated_calls_hour(spark, sf):
+    """A call with the tool of the session's previous one, within an hour: sessions of this table call seldom."""
     return U.repeated_calls(_events(spark, sf), "session", ["ms", "event_id"], ["tool"], "ms", 3_600_000).select("session", "event_id", "tool", "gap_ms")
 
 
@@ -111,7 +116,7 @@ def stream_usage_window(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    usage_by_tool, usage_by_session, usage_daily, tool_day_percentiles, repeated_calls_60s, next_call_funnel, session_trace, usage_hotspots,
+    usage_by_tool, usage_by_session, usage_daily, tool_day_percentiles, repeated_calls_60s, repeated_calls_hour, next_call_funnel, session_trace, usage_hotspots,
     retro_medians, optimization_candidates, hint_counters, negative_evidence, stream_usage_window,
 ]}
 
@@ -125,7 +130,8 @@ SQL = {
         quantile_disc(elapsed, 0.5) FILTER (NOT is_cached) AS p50, quantile_disc(elapsed, 0.95) FILTER (NOT is_cached) AS p95, max(elapsed) FILTER (NOT is_cached) AS longest,
         floor(coalesce(count(*) FILTER (is_error AND NOT is_cached) / nullif(count(*) FILTER (NOT is_cached), 0), 0) * 1000 + 0.5) / 1000 AS error_rate,
         floor(count(*) FILTER (is_cached) / count(*) * 1000 + 0.5) / 1000 AS cache_rate FROM e GROUP BY 1, 2""",
-    "repeated_calls_60s": f"{_E}, l AS (SELECT *, lag(tool) OVER w AS t, ms - lag(ms) OVER w AS gap_ms FROM e WINDOW w AS (PARTITION BY session ORDER BY ms, event_id)) SELECT session, event_id, tool, gap_ms FROM l WHERE t = tool AND gap_ms <= 3600000",
+    "repeated_calls_60s": f"{_E}, l AS (SELECT *, lag(tool) OVER w AS t, lag(args) OVER w AS g, ms - lag(ms) OVER w AS gap_ms FROM e WINDOW w AS (PARTITION BY session ORDER BY ms, event_id)) SELECT session, event_id, tool, gap_ms FROM l WHERE t = tool AND g = args AND gap_ms <= 60000",
+    "repeated_calls_hour": f"{_E}, l AS (SELECT *, lag(tool) OVER w AS t, ms - lag(ms) OVER w AS gap_ms FROM e WINDOW w AS (PARTITION BY session ORDER BY ms, event_id)) SELECT session, event_id, tool, gap_ms FROM l WHERE t = tool AND gap_ms <= 3600000",
     "next_call_funnel": f"""{_E}, l AS (SELECT *, lead(tool) OVER (PARTITION BY session ORDER BY ms, event_id) AS nx FROM e), x(tool, want) AS (VALUES {', '.join(f"('{t}', {a})" for t, a in EXPECTED.items())})
         SELECT l.tool, count(*) AS emitted, count(nx) AS followed, count(*) FILTER (list_contains(want, nx)) AS taken FROM l LEFT JOIN x USING (tool) GROUP BY 1""",
     "session_trace": f"{_E} SELECT session, (row_number() OVER (PARTITION BY session ORDER BY ms, event_id) - 1)::int AS step, event_id, tool FROM e",
