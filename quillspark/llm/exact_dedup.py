@@ -63,6 +63,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     )
     best = F.max_by(F.col("doc_id"), F.struct(F.col("_chars"), -F.col("doc_id")))
     groups = rows.where("_sha is not null").groupBy("_sha").agg(best.alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    groups = written(groups, "groups")  # apart from the join, whose hot keys can then be split
     alone = rows.where("_sha is null").withColumns({"_keep": F.col("doc_id"), "_size": F.lit(1)})  # a null key would be one hot key
     together = rows.where("_sha is not null").join(groups, "_sha", "left")
     return together.unionByName(alone).select(
@@ -85,9 +86,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     narrow = written(rows.where("_sha is not null").select("_id", "_sha", chars.alias("_chars")), "digests")
     best = F.max_by(F.col("_id"), F.struct(F.col("_chars"), -F.col("_id")))
     counted = narrow.groupBy("_sha").agg(best.alias("_id"), F.count(F.lit(1)).alias("_size"))
-    shared = counted.where("_size > 1").select("_sha", F.lit(True).alias("_shared"))
-    keep = written(counted.where("_size > 1").select("_sha", "_id"), "keepers")
-    losers = narrow.join(shared, "_sha", "left_semi").join(keep, [narrow["_sha"].eqNullSafe(keep["_sha"]), narrow["_id"].eqNullSafe(keep["_id"])], "left_anti")
+    keep = written(counted.where("_size > 1").select("_sha", F.col("_id").alias("_kept")), "keepers")
+    losers = narrow.join(keep, "_sha").where(~F.col("_id").eqNullSafe(F.col("_kept")))
     # the digest's first eight bytes and the id tell a dropped row
     first = F.conv(F.substring(F.hex("_sha"), 1, 16), 16, -10).cast("long")
     row_key = [F.col("_id"), F.col("_first")]
