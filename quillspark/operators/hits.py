@@ -27,7 +27,9 @@ def classified(hits: DataFrame, symbols: DataFrame, centrality: DataFrame) -> Da
     counted = owned.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("symbol is not null")
     same = Window.partitionBy("symbol", "text").orderBy("file", "line")
     order = Window.partitionBy("symbol").orderBy("copy", "file", "line")
-    kept = owned.withColumn("copy", F.row_number().over(same)).withColumn("place", F.row_number().over(order)).where("symbol is null or place <= 2")
+    # hits without a symbol would be one hot key of the windows
+    within = owned.where("symbol is not null").withColumn("copy", F.row_number().over(same)).withColumn("place", F.row_number().over(order)).where("place <= 2")
+    kept = within.drop("copy", "place").unionByName(owned.where("symbol is null"))
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_BONUS.items() for x in kv]), F.col("kind")), F.lit(0.0))
     full = kept.join(counted, "symbol", "left").join(centrality.select("file", "centrality"), "file", "left")
     score = F.when(F.col("symbol").isNull(), 0.0).otherwise(0.5 * F.coalesce("centrality", F.lit(0.0)) + bonus + 0.3 * F.col("n"))

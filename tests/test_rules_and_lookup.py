@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import code, lookup, rules
+from quillspark.operators import code, journal, lookup, rules
 from quillspark.sources import extract
 
 BY_NAME = {r.name: r for r in rules.CATALOGUE + rules.SECRETS}
@@ -160,3 +160,18 @@ def test_workspaces(spark):
     assert {(r.path, r.workspace) for r in code.workspace_of(files, w).collect()} == {("a/x.ts", "a"), ("b/y.ts", "b"), ("z.ts", None)}
     crossing = spark.createDataFrame([("a/x.ts", "b/y.ts", "a", "b"), ("a/x.ts", "c/z.ts", "a", "c")], "src string, dst string, from_workspace string, to_workspace string")
     assert [(r.src, r.dst) for r in lookup.workspace_boundaries(crossing, w).collect()] == [("a/x.ts", "c/z.ts")]
+
+
+def test_journal(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    journal.append(spark, path, "repo", [("journal", "day", "first"), ("scratch", "a", "1"), ("scratch", "a", "2"), ("scratch", "b", "")])
+    journal.plan(spark, path, "repo", "move", ["read", "write\twith a tab"])
+    journal.set_status(spark, path, "repo", "move", 1, "completed")
+    entries = journal.read(spark, path)
+    assert {(r.key, r.body) for r in journal.scratch(entries, "repo").collect()} == {("a", "2"), ("b", "")}
+    assert {(r.step, r.status, r.title) for r in journal.plan_steps(entries, "repo", "move").collect()} == {(1, "completed", "read"), (2, "pending", "write\twith a tab")}
+    (p,) = journal.plans(entries).collect()
+    assert (p.plan, p.steps, p.completed, p.status) == ("move", 2, 1, "in_progress")
+    for bad in (lambda: journal.append(spark, path, "r", [("x", "k", "b")]), lambda: journal.set_status(spark, path, "repo", "move", 9, "failed"), lambda: journal.set_status(spark, path, "repo", "move", 1, "done")):
+        with pytest.raises(ValueError):
+            bad()
