@@ -46,8 +46,13 @@ def pattern_counts(spark, sf):
 
 
 def structural_scan(spark, sf):
-    """The rules that follow loops or look at the squeezed text."""
-    return U.scan(_texts(spark, sf), "key", "text", STRUCTURAL).select("key", "rule", "severity", "family", "line_no")
+    """The rules that follow loops or look at the squeezed text, over a handler for each part: large parts wait in a loop, small ones swallow errors."""
+    size = F.col("p_size")
+    call = F.concat(F.lit("await part_"), F.col("p_partkey").cast("string"), F.lit("(JSON.parse(text))"))
+    body = F.when(size > 40, F.concat(F.lit("for (const x of xs) {\n  "), call, F.lit("\n}"))).otherwise(call)
+    text = F.concat(body, F.when(size < 5, "\ntry { go() } catch (e) {\n  // nothing\n}").otherwise(""))
+    handlers = table(spark, sf, "part").select("p_partkey", text.alias("text"))
+    return U.scan(handlers, "p_partkey", "text", STRUCTURAL).select("p_partkey", "rule", "line_no")
 
 
 def pattern_audit(spark, sf):
@@ -289,6 +294,8 @@ SQL = {
     "pattern_scan": _scan_sql(_KEYED, "key", SCANNED),
     "pattern_counts": f"SELECT rule, severity, count(*) AS findings FROM ({_scan_sql(_KEYED, 'key', SCANNED)}) GROUP BY 1, 2",
     "pattern_audit": _audit_sql(),
+    "structural_scan": """SELECT p_partkey, unnest(['await-in-loop', 'expensive-recompute']) AS rule, 2 AS line_no FROM part WHERE p_size > 40
+        UNION ALL SELECT p_partkey, 'empty-catch', NULL FROM part WHERE p_size < 5""",
     "secret_scan": f"SELECT doc_id, rule, severity, line_no FROM ({_scan_sql('SELECT doc_id, text FROM documents', 'doc_id', U.SECRETS)})",
     "pii_redaction": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '(token|secret|key) = "[A-Za-z0-9]+"', '\1 = "[KEY]"', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM m""",
     "dml_safety_lines": f"""WITH {_STATEMENTS}, r AS (SELECT line_no, CASE WHEN line ILIKE '%delete from%' AND NOT line ILIKE '% where %' THEN 'delete-without-where' WHEN regexp_matches(line, '(?i)update \\S+ set') AND NOT line ILIKE '% where %' THEN 'update-without-where' WHEN line ILIKE '%select *%' THEN 'select-star' END AS rule FROM st) SELECT * FROM r WHERE rule IS NOT NULL""",
