@@ -8,15 +8,16 @@ components of all such pairs. They are found in four steps.
    changed word moves one feature there but five of the shingles. Each member is paired with its group's least id.
 3. SimHash misses pairs, most of all where a passage was added or cut off. A prefix filter is exact: in any
    total order of the shingles, two sets of similarity s share one among the first ``n - ceil(s n) + 1`` of each.
-   Rare shingles come first (the order is set by counts from a sample of documents, which costs or saves work but
-   never a pair). Each text is paired with the least id of each prefix shingle that it shares.
+   Rare shingles come first, by their counts over all documents (the order costs or saves work but never a pair).
+   Each text is paired with the least id of each prefix shingle that it shares.
    The pairs of steps 2 and 3 are verified, and those that hold make groups.
 4. Prefix shingles whose texts are in several groups by then pair all texts of the lesser groups with those of the
    others. Copies are in one group already, so a large group of copies makes no pairs. Positions in the order and
    sizes rule out most of the rest before verification: an exact bound on what two texts can have in common.
 
-Scale: texts are read where they lie; what is shuffled are prefix shingles packed by their hash's first bits (an
-eighth of the text or so), the few of them that repeat, and, of texts in some pair only, packed shingle sets. A
+Scale: texts are read where they lie; what is shuffled are the shingles' hashes with each task's counts, prefix
+shingles packed by their hash's first bits (an eighth of the text or so), the few of them that repeat, and, of texts
+in some pair only, packed shingle sets. A
 leader's set is repeated once for every ``BLOCK`` of its pairs, so a large group has no hot key.
 """
 
@@ -35,8 +36,8 @@ from .common import within, without, written
 from .components import components
 from .simhash import fingerprint_links, majority, words_of
 
-#: Shingles that are sent to every task, to come last in the order; one in so many documents is counted for them.
-LISTED, SAMPLED = 200_000, 16
+#: Shingles that are sent to every task, to come last in the order.
+LISTED = 200_000
 #: Prefix shingles of a bucket on average, and those that a task holds before it hands them on.
 BUCKET, HELD = 250_000, 200_000
 #: Pairs for which a leader's set is sent once.
@@ -103,11 +104,9 @@ def _every_shingle(size: int):
     return run
 
 
-def _common(texts: DataFrame, documents: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat in a sample of the documents, sorted, with their counts: the most frequent ones, ``LISTED`` at most."""
-    part = max(1, min(SAMPLED, documents // 20_000))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
-    counted = written(sample.mapInArrow(_every_shingle(size), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
+def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one document, sorted, with their counts over all: the most frequent ones, ``LISTED`` at most."""
+    counted = written(texts.mapInArrow(_every_shingle(size), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
     least, total = 2, 0
     for n, many in sorted(((r["n"], r["many"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):
         total += many
@@ -268,9 +267,9 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     classes = written(sketch.groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-classes")
     equal = written(sketch.join(classes, ["digest", "digest2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "near-equal")
     reps = written(without(sketch.select("doc_id", "size", "fp"), [F.col("doc_id")], equal.select("u")), "near-reps")
-    totals = reps.agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("size") * (1 - similarity) + 1).alias("rows")).first()
+    totals = reps.agg(F.sum(F.floor("size") * (1 - similarity) + 1).alias("rows")).first()
 
-    common = docs.sparkSession.sparkContext.broadcast(_common(texts, totals["n"], size))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts, size))
     bits = next((b for b in range(17) if (totals["rows"] or 0) <= BUCKET << b), 17)
     own = texts if equal.isEmpty() else without(texts, [F.col("doc_id")], equal.select("u"))
     packed = own.mapInArrow(_prefixes(size, similarity, 64 - bits, common), "bucket long, packed binary")

@@ -1,6 +1,7 @@
 """Near-duplicate removal and the pipeline, against brute force."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -124,6 +125,30 @@ def test_the_bounds_of_batches_change_nothing(spark, monkeypatch):
         assert {r.doc_id for r in near_deduplicated(docs).collect()} == want
 
 
+def test_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    lines = [" ".join(word() for _ in range(6)) for _ in range(700)]
+    texts = [f"{lines[i % 700]} own{i} {lines[i * 7 % 503]}" for i in range(40_500)]
+    near = []
+    for i in range(30):  # in two documents each
+        base = [word() for _ in range(60)]
+        near += [len(texts) + 1]
+        texts += [" ".join(base), " ".join([*base[:-1], f"end{i}"])]
+    lists, prefixes = [], near_dedup._prefixes
+
+    def seen(size, similarity, shift, common):
+        lists.append(common.value)
+        return prefixes(size, similarity, shift, common)
+
+    monkeypatch.setattr(near_dedup, "_prefixes", seen)
+    links = near_dedup.near_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    assert sorted((r.u, r.v) for r in links.distinct().collect()) == [(i, i - 1) for i in near]
+    counts = Counter(h for t in texts for h in near_dedup.shingle_hashes(near_dedup.word_hashes(t), 5).tolist())
+    ((keys, found),) = lists
+    assert dict(zip(keys.tolist(), found.tolist(), strict=True)) == {h: n for h, n in counts.items() if n > 1}
+
+
 def test_empty_table(spark):
     assert near_deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
