@@ -9,8 +9,8 @@ p before it (the two tokens' bytes together encode to p, t). Storing that token
 * encodings by walking back from the end.
 
 Texts are split by the vocabulary's pattern first and each match is encoded by itself. Matches are shared
-by many texts, and so are their prefixes: a task keeps both in tables of bounded size (emptied when full,
-which changes no result). Documents are encoded row by row, without a shuffle.
+by many texts, and so are their prefixes: a worker keeps both in tables of bounded size (what is forgotten
+is encoded again, which changes no result). Documents are encoded row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Matches and prefixes that a task remembers; none is longer than 64 bytes, so that these bound bytes too.
-PIECES, PREFIXES, PAIRS = 500_000, 600_000, 400_000
+#: Bytes of what a worker remembers: matches (twice that, see Recent), prefixes, and pairs of tokens.
+PIECES, PREFIXES, PAIRS = 96_000_000, 48_000_000, 32_000_000
+#: Bytes of an entry's place in a dict; of a pair of tokens with its place (the tokens themselves are there anyway).
+SLOT, PAIR = 80, 56 + 80
+#: Bytes of an empty byte string.
+BYTES = getsizeof(b"")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +56,7 @@ class Pieces:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.last: dict[bytes, int] = {}
+        self.last_bytes = 0
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a token: {missing[:5]}")
@@ -96,24 +103,27 @@ class Pieces:
     def _compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of two reachable tokens together encode to these two."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) * PAIR >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._meet(a, b)
         return known
 
-    def _step(self, data: bytes, end: int, last: list[int]) -> int:
-        """The valid last token of ``data[:end]``, given those of shorter prefixes (``last[i]`` for ``data[:i]``)."""
+    def _fill(self, data: bytes, last: list[int], to: int) -> None:
+        """Append the valid last tokens of the prefixes up to ``data[:to]``, given those of shorter ones (``last[i]`` for ``data[:i]``)."""
         lengths, valid, pairs = self.lengths.get, self.valid.get, self.pairs.get
-        for n in lengths(data[end - 3 if end > 3 else 0 : end]) or lengths(data[end - 2 if end > 2 else 0 : end]) or (1,):
-            if n == end:
-                if (t := valid(data[:end])) is not None:
-                    return t
-            elif n < end and (t := valid(data[end - n : end])) is not None:
-                before = last[end - n]
-                fits = pairs((before, t))
-                if fits or fits is None and self._compatible(before, t):
-                    return t
-        raise AssertionError("every prefix has a valid last token")
+        for end in range(len(last), to + 1):
+            for n in lengths(data[end - 3 if end > 3 else 0 : end]) or lengths(data[end - 2 if end > 2 else 0 : end]) or (1,):
+                if n == end:
+                    if (t := valid(data[:end])) is not None:
+                        break
+                elif n < end and (t := valid(data[end - n : end])) is not None:
+                    before = last[end - n]
+                    fits = pairs((before, t))
+                    if fits or fits is None and self._compatible(before, t):
+                        break
+            else:
+                raise AssertionError("every prefix has a valid last token")
+            last.append(t)
 
     def table(self, data: bytes) -> list[int]:
         """The valid last token of every prefix, at its length; at 0 there is none (-1)."""
@@ -122,8 +132,7 @@ class Pieces:
     def extended(self, data: bytes, last: list[int], more: bytes) -> list[int]:
         """The table of ``data + more``, given that of ``data``: an exact append."""
         whole, out = data + more, list(last)
-        for end in range(len(data) + 1, len(whole) + 1):
-            out.append(self._step(whole, end, out))
+        self._fill(whole, out, len(whole))
         return out
 
     def edited(self, data: bytes, last: list[int], start: int, end: int, by: bytes) -> tuple[bytes, list[int]]:
@@ -141,7 +150,7 @@ class Pieces:
             if same >= reach and old > end:
                 out.extend(last[old:])
                 break
-            out.append(self._step(new, at, out))
+            self._fill(new, out, at)
             same = same + 1 if old > end and last[old] == out[-1] else 0
         return new, out
 
@@ -159,38 +168,57 @@ class Pieces:
             return [t]
         if len(piece) > 64:  # shared prefixes of a long match would take room with the square of its length
             return self.tokens(piece, self.table(piece))
-        if len(self.last) > PREFIXES:
+        if self.last_bytes > PREFIXES:
             self.last.clear()
-        known = len(piece)
-        while known and piece[:known] not in self.last:
-            known -= 1
+            self.last_bytes = 0
         # prefixes are stored shortest first and forgotten together, so all below a known one are known
-        last = [-1, *[self.last[piece[:k]] for k in range(1, known + 1)]]
-        for end in range(len(last), len(piece) + 1):
-            last.append(self._step(piece, end, last))
-            self.last[piece[:end]] = last[-1]
+        stored, last, size = self.last.get, [-1], len(piece)
+        for end in range(1, size + 1):
+            if (t := stored(piece[:end])) is None:
+                break
+            last.append(t)
+        if (known := len(last)) <= size:
+            self._fill(piece, last, size)
+            for end in range(known, size + 1):
+                self.last[piece[:end]] = last[end]
+            self.last_bytes += (size + 1 - known) * (BYTES + SLOT) + (known + size) * (size + 1 - known) // 2
         return self.tokens(piece, last)
 
 
+class Recent(dict):
+    """Ids of matches, packed. When it is full it becomes the older table, and what is met again is taken over from there."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            data = piece.encode("utf-8")
+            tokens = self.pieces.encode(data)
+            ids = pack(f"<{len(tokens)}I", *tokens)
+            if len(data) > 64:
+                return ids
+        if self.bytes > PIECES:
+            self.older.clear()
+            self.older.update(self)
+            self.clear()
+            self.bytes = 0
+        self[piece] = ids
+        self.bytes += getsizeof(piece) + getsizeof(ids) + SLOT
+        return ids
+
+
 class Codec:
     """Whole texts to ids and back. ``encode_packed`` gives little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str, pattern: str):
         self.pieces = Pieces(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        own = self.pieces
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= PIECES:
-                    self.clear()
-                ids = np.array(own.encode(piece.encode("utf-8")), "<u4").tobytes()
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
-        self.table = own.bytes_of
+        self.known = Recent(self.pieces)
+        self.table = self.pieces.bytes_of
 
     def encode_packed(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
@@ -204,25 +232,30 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _encoded(path: str, pattern: str):
+def _encoded(path: str, pattern: str, back: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.encode_packed(t.as_py() or "") for t in part.column(1)], pa.binary())], names=["doc_id", "ids"])
+                ids = pa.array([c.encode_packed(t.as_py() or "") for t in part.column(1)], pa.binary())
+                decoded = [pa.array([c.decode_packed(i.as_py()) for i in ids], pa.binary())] if back else []
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *decoded], names=["doc_id", "ids", "decoded"][: 2 + back])
 
     return run
 
 
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)``: each whole text's ids, little-endian unsigned 32-bit, without special tokens.
 
     ``path``: the ranks, readable on every executor. Null counts as empty, which has no ids. Extra columns
     are ignored; rows may repeat; an empty table gives an empty result.
     """
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return plain.mapInArrow(_encoded(path, pattern), "doc_id long, ids binary")
+    return _plain(docs, doc_id, text).mapInArrow(_encoded(path, pattern), "doc_id long, ids binary")
 
 
 def _decoded(path: str, pattern: str):
@@ -239,6 +272,15 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(path, pattern), "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded)``: what :func:`decode` returns for :func:`encode`'s rows.
+
+    Spark gives each of these two a Python worker of its own in every task, and either worker may come to hold the
+    tables of both; here one worker does both, and the ids go to the JVM once.
+    """
+    return _plain(docs, doc_id, text).mapInArrow(_encoded(path, pattern, True), "doc_id long, ids binary, decoded binary")
+
+
 def ids_digest(decoded: DataFrame) -> DataFrame:
-    """The contract's columns, from :func:`decode`'s rows."""
+    """The contract's columns, from the rows of :func:`decode` or :func:`round_trip`."""
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -106,3 +106,14 @@ def short_batches(spark: SparkSession, rows: int = 500) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def short_reads(spark: SparkSession, rows: int = 256) -> None:
+    """Let the session read at most so many rows of a Parquet file at a time.
+
+    At Spark's 4096 rows the column of texts takes arrays of tens of MB, doubled as they fill, and the heap grows with
+    them. Stays, as in :func:`short_batches`; no result depends on it.
+    """
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name, "4096")) > rows:
+        spark.conf.set(name, str(rows))

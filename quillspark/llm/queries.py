@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from .chat import format_turns, read_back
-from .common import table
+from .common import short_batches, short_reads, table
 from .exact_dedup import exact_groups
 from .language import identify
 from .media import media_columns, media_digest, text_media
@@ -27,9 +27,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """Ids of ``documents`` and the bytes they decode to."""
+    short_batches(spark)
+    short_reads(spark)
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.ids_digest(bpe.decode(encoded, path, public_tokenizers.PATTERN))
+    return bpe.ids_digest(bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Byte-level BPE against the library and against the merge definition; appends, edits and round trips."""
 
+import gc
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import codec, decode, encode, ids_digest, read_ranks
+from quillspark.llm import bpe
+from quillspark.llm.bpe import Codec, codec, decode, encode, ids_digest, read_ranks
+from quillspark.llm.queries import op6_bpe
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 CODEC = codec(PATH, PATTERN)
@@ -78,3 +82,62 @@ def test_digest(spark):
         want = np.array(LIBRARY.encode_ordinary(t or ""), "<u4")
         assert (i, len(want), hashlib.sha256(want.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) in got
     assert encode(docs.limit(0).withColumn("x", F.lit(1)), PATH, PATTERN).count() == 0
+
+
+def test_one_python_worker_a_task(spark):
+    plan = op6_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_few_rows_are_read_and_handed_on_at_a_time(spark):
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for given, want in (((4096, 10000), (256, 500)), ((100, 0), (100, 500)), ((256, 40), (256, 40))):
+            for name, value in zip(names, given, strict=True):
+                spark.conf.set(name, str(value))
+            op6_bpe(spark, "/root/testdata/sf0.001")
+            assert tuple(int(spark.conf.get(name)) for name in names) == want
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
+def test_round_trip_is_decoding_what_was_encoded(spark):
+    texts = [None, "", "Hello, wörld! 12345", "x" * 5000, "\u0000\u001c\u0085", "日本語 and more", None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1, "again", "x")], "id long, body string, ids string")
+    got = bpe.round_trip(docs, PATH, PATTERN, "id", "body")
+    want = decode(encode(docs, PATH, PATTERN, "id", "body"), PATH, PATTERN)
+    assert got.schema == want.schema
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert bpe.round_trip(docs.limit(0), PATH, PATTERN, "id", "body").count() == 0
+
+
+def held(c):
+    """Bytes of a codec's tables with all that lies in them."""
+    seen, todo, total = set(), [c.known, *vars(c.known).values(), *vars(c.pieces).values()], 0
+    while todo:
+        if id(x := todo.pop()) not in seen and isinstance(x, dict | list | tuple | set | str | bytes | int):
+            seen.add(id(x))
+            total += sys.getsizeof(x)
+            todo += gc.get_referents(x) if isinstance(x, dict | list | tuple | set) else []
+    return total
+
+
+def test_tables_are_bounded_by_bytes_and_forgetting_changes_nothing(monkeypatch):
+    for name in ("PIECES", "PREFIXES", "PAIRS"):
+        monkeypatch.setattr(bpe, name, 10_000)
+    c, rng = Codec(PATH, PATTERN), random.Random(6)
+    empty = held(c)
+    for _ in range(20):
+        t = " ".join("".join(rng.choices("thenadiouéü", k=rng.randrange(1, 9))) for _ in range(300))
+        assert np.frombuffer(c.encode_packed(t), "<u4").tolist() == LIBRARY.encode_ordinary(t)
+        c.pieces.halves.clear()  # an entry for each token at most
+        assert held(c) - empty < 50_000
+
+
+def test_a_match_of_many_bytes_is_not_remembered():
+    c = Codec(PATH, PATTERN)
+    t = "\U00010330" * 60
+    assert np.frombuffer(c.encode_packed(t), "<u4").tolist() == LIBRARY.encode_ordinary(t)
+    assert t not in c.known
