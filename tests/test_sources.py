@@ -137,3 +137,29 @@ def test_streams(spark, tmp_path):
     for r in sorted(static.collect(), key=lambda r: r.ts):
         newest[f"p{r.event_id % 50}"] = r.tool
     assert table == newest
+
+
+def test_python_with_a_syntax_error_keeps_its_symbols():
+    """One function without a body in its loop must not take the module's others away."""
+    text = "def _part_1(size=45):\n    for row in query():\n    return 1\n\ndef ok(a):\n    x = (\n1\n    )\n    return x\n\nclass K(B):\n    def m(self):\n        return 1\n\n    def n(self:\n        return 2\n\nLIMIT = 3\nx = = 3\n"
+    got = {s["name"]: (s["kind"], s["start_line"], s["end_line"], s.get("parent")) for s in extract.python(text)}
+    assert got == {"_part_1": ("function", 1, 3, None), "ok": ("function", 5, 9, None), "K": ("class", 11, 16, None), "m": ("method", 12, 13, "K"), "n": ("method", 15, 16, "K"), "LIMIT": ("constant", 18, 18, None)}
+    assert extract.python(text)[0]["source"] == text.split("\n\n")[0]
+
+
+def test_code_queries_where_a_looping_part_calls_nothing(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import ORACLE_SQL, QUERIES
+    from verify import rows
+
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.lit(45).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, n, k) for o in range(40) for n, k in enumerate((o, (o * 7 + 1) % 40), 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("code_symbols", "code_call_edges", "code_file_outline", "code_repo_outline", "code_chunks"):
+        df = QUERIES[name](spark, str(tmp_path))
+        other = con.execute(ORACLE_SQL[name])
+        assert rows(df.columns, df.collect()) == rows([d[0] for d in other.description], other.fetchall()), name
