@@ -70,11 +70,15 @@ def go_to_definition(symbols: DataFrame, uses: DataFrame) -> DataFrame:
 
 def call_hierarchy(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """``(direction, id, name, file)`` of the direct callers and callees of the symbols with that name."""
-    own = symbols.where(F.col("name") == name).select(F.col("id").alias("own"))
+    own = symbols.where(F.col("name") == name).select("id").distinct()
     other = symbols.select("id", "name", "file")
-    into = edges.join(own, F.col("dst") == F.col("own")).select(F.lit("caller").alias("direction"), F.col("src").alias("id"))
-    out = edges.join(own, F.col("src") == F.col("own")).select(F.lit("callee").alias("direction"), F.col("dst").alias("id"))
-    return into.unionByName(out).distinct().join(other, "id").select("direction", "id", "name", "file")
+    # both directions in one reading of the edges
+    met = edges.join(own.select(F.col("id").alias("_to")), F.col("dst") == F.col("_to"), "left").join(own.select(F.col("id").alias("_from")), F.col("src") == F.col("_from"), "left")
+    ends = F.array(
+        F.when(F.col("_to").isNotNull(), F.struct(F.lit("caller").alias("direction"), F.col("src").alias("id"))),
+        F.when(F.col("_from").isNotNull(), F.struct(F.lit("callee").alias("direction"), F.col("dst").alias("id"))),
+    )
+    return met.select(F.explode(F.array_compact(ends)).alias("e")).select("e.*").distinct().join(other, "id").select("direction", "id", "name", "file")
 
 
 def context_bundle(symbols: DataFrame, imports: DataFrame, symbol_id: str) -> DataFrame:

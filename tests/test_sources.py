@@ -163,3 +163,20 @@ def test_code_queries_where_a_looping_part_calls_nothing(spark, tmp_path):
         df = QUERIES[name](spark, str(tmp_path))
         other = con.execute(ORACLE_SQL[name])
         assert rows(df.columns, df.collect()) == rows([d[0] for d in other.description], other.fetchall()), name
+
+
+def test_extract_holds_few_symbols_at_a_time():
+    """What a worker hands on at a time doesn't grow with the files that it is given."""
+    import pandas as pd
+
+    many = pd.DataFrame({"path": [f"m{i}.py" for i in range(400)], "language": "python", "text": "\n".join(f"def f{k}():\n    return {k}" for k in range(20))})
+    got = list(extract._symbols(iter([many]), "local"))
+    assert max(map(len, got)) <= 2000
+    assert sum(map(len, got)) == 8000 and pd.concat(got)["id"].nunique() == 8000
+
+
+def test_call_hierarchy_reads_each_text_once(spark):
+    from quillspark.plans import code as plans
+
+    df = plans.code_call_hierarchy(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
