@@ -175,3 +175,25 @@ def test_journal(spark, tmp_path):
     for bad in (lambda: journal.append(spark, path, "r", [("x", "k", "b")]), lambda: journal.set_status(spark, path, "repo", "move", 9, "failed"), lambda: journal.set_status(spark, path, "repo", "move", 1, "done")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_rules_are_asked_only_behind_their_signs_and_literals(spark):
+    """Every rule's literals are there in what it matches; most rules are asked only where a sign is."""
+    import re
+
+    scanned = [r for r in rules.CATALOGUE if r.scope in ("line", "file")]
+    assert sum(rules.sign_of(r.pattern) is not None for r in scanned) > len(scanned) * 0.75
+    assert rules.sign_of(r"^\s*print\s*\(") == "(" and rules.needed(r"^\s*print\s*\(", every=True) == [["print"], ["("]]
+    text = "x = 1\nprint (x)\nprint x\nconsole.log(1) // TODO later\n# todo\nasync def f():\nDEBUG = True\nMIDDLEWARE = [\n 'a' ]"
+    got = {(r.rule, r.line_no) for r in rules.scan(spark.createDataFrame([(1, text), (2, text + "\nawait CsrfViewMiddleware")], "k long, t string"), "k", "t", scanned).where("k = 1").collect()}
+    bare = [re.sub(r"^\s*(#|\*).*$", "", re.sub(r"(^|[^:])//.*$", r"\1", x)) for x in text.split("\n")]
+    want = set()
+    for r in scanned:
+        on = bare if r.code or r.scope == "file" else text.split("\n")
+        hits = [i for i, x in enumerate(on, 1) if re.search(r.pattern, x)]
+        if r.scope == "file":
+            hits = hits[:1] if not (r.unless and any(re.search(r.unless, x) for x in bare)) else []
+        else:
+            hits = [i for i in hits if not (r.unless and re.search(r.unless, on[i - 1]))]
+        want |= {(r.name, i) for i in hits}
+    assert got == want and ("async-without-await", 6) in got
