@@ -132,17 +132,22 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> Data
     made. A round is joins and aggregates over the edges, so the graph needs to fit no task.
     """
     e = distinct_edges(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
-    both = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    degree = written(both.groupBy("src").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("src", "node"))
-    total = degree.agg(F.sum("k").alias("m2")).first()["m2"] or 1
-    home = degree.select("node", "k", F.col("node").alias("community"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # a round reads the edges of the nodes that move in it only
+    parity = lambda node: F.pmod(F.xxhash64(node), F.lit(2))
+    sides = [written(both.where(parity("src") == p)) for p in (0, 1)]
+    degree = sides[0].unionByName(sides[1]).groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    home = written(degree.select(F.col("src").alias("node"), "k", F.col("src").alias("community")))
+    total = home.agg(F.sum("k").alias("m2")).first()["m2"] or 1
     for r in range(rounds):
-        weight = home.groupBy("community").agg(F.sum("k").alias("weight"))
-        links = both.join(home.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("w"))
-        turn = home.where(F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2).select(F.col("node").alias("src"), "k", F.col("community").alias("own"))
+        # a community's weight goes along with its name, so no join by communities is as long as the edges
+        weighed = home.join(home.groupBy("community").agg(F.sum("k").alias("weight")), "community")
+        heard = sides[r % 2].join(weighed.select(F.col("node").alias("dst"), "community", "weight"), "dst").select("src", "community", "weight", F.lit(1).cast("long").alias("w"))
+        turn = home.where(parity("node") == r % 2).select(F.col("node").alias("src"), "k", F.col("community").alias("own"))
         # staying is an option even without a link to the own community
-        options = links.join(turn, "src").unionByName(turn.select("src", F.col("own").alias("community"), F.lit(0).cast("long").alias("w"), "k", "own"))
-        options = options.groupBy("src", "community", "k", "own").agg(F.sum("w").alias("w")).join(weight, "community")
+        stay = weighed.where(parity("node") == r % 2).select(F.col("node").alias("src"), "community", "weight", F.lit(0).cast("long").alias("w"))
+        # a node's options meet in one partition: sums, degree and choice take no further exchange of them
+        options = heard.unionByName(stay).repartition("src").groupBy("src", "community").agg(F.first("weight").alias("weight"), F.sum("w").alias("w")).join(turn, "src")
         others = F.col("weight") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
         gain = F.round(F.col("w") - resolution * F.col("k") * others / total, 9)
         best = options.groupBy("src").agg(F.max_by("community", F.struct(gain.alias("gain"), (F.col("community") == F.col("own")).alias("stay"), (-F.col("community")).alias("least"))).alias("to"))

@@ -172,3 +172,17 @@ def test_retrieval(spark):
     assert {(r.query_idx, r.key) for r in got} == {(0, "s1"), (1, "a.py:2"), (1, "b.py:1"), (2, "a.py:2"), (2, "b.py:2")}
     assert retrieval.decompose("find the user") == ["find the user"] and len(retrieval.decompose("find all the users that have an open order and also paid")) == 2
     assert code.KEYWORDS
+
+
+def test_louvain_reads_only_the_edges_of_the_nodes_that_move(spark, monkeypatch):
+    """A round's edges are those of one parity: each edge table that is written holds the nodes that move together."""
+    from quillspark.operators import graph
+
+    kept, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: kept.append(real(df)) or kept[-1])
+    edges = spark.createDataFrame([(a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(0, 10)], "src long, dst long")
+    got = {r.node: r.community for r in graph.louvain(edges, rounds=6).collect()}
+    assert len({got[n] for n in range(5)}) == 1 and len({got[n] for n in range(10, 15)}) == 1 and got[1] != got[11]
+    tables = [t for t in kept if set(t.columns) == {"src", "dst"}]
+    assert sum(t.count() for t in tables) == 2 * 21
+    assert all(t.selectExpr("pmod(xxhash64(src), 2) as p").distinct().count() == 1 for t in tables)
